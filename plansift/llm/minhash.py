@@ -135,7 +135,7 @@ def likeness(a: Column, b: Column, bits: int = BIN_BITS) -> Column:
 
 
 #: Rows that a range of ids is meant to hold while each row looks for its next one.
-RANGE_ROWS = 100_000
+RANGE_ROWS = 20_000
 MOST_RANGES = 8192
 
 
