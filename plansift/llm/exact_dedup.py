@@ -18,6 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plansift.llm.rows import unused
 from plansift.session import settle, shared_dir
 
 #: Digests a bucket is meant to hold when the number of buckets is not given.
@@ -125,24 +126,19 @@ def drop_copies(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     apart by a further step that sees such rows alone.
     """
     verdict = settle(exact_dedup(docs, index, id_col, text_col), "verdict")
-    stay = verdict.filter("kept").select(
-        F.xxhash64("doc_id", "text_sha256").alias("__key"), F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest")
-    )
-    again = (
-        verdict.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        .select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest"))
-    )
-    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__digest": digest(F.col(text_col))})
-
-    def same(right: DataFrame) -> Column:
-        return keyed["__id"].eqNullSafe(right["__id"]) & (keyed["__digest"] == right["__digest"])
-
-    kept = keyed.join(stay, same(stay), "left_semi")
-    if again.isEmpty():
-        return kept.drop("__id", "__digest")
-    once = kept.join(again, (kept["__id"].eqNullSafe(again["__id"])) & (kept["__digest"] == again["__digest"]), "left_anti")
-    twice = kept.join(again, (kept["__id"].eqNullSafe(again["__id"])) & (kept["__digest"] == again["__digest"]), "left_semi")
-    return once.unionByName(twice.dropDuplicates(["__id", "__digest"])).drop("__id", "__digest")
+    id_, own = unused(docs, "__id", "__digest")
+    named = [F.col("doc_id").alias(id_), F.unhex("text_sha256").alias(own)]
+    stay = verdict.filter("kept").select(*named)
+    again = settle(verdict.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*named), "again")
+    keyed = docs.withColumns({id_: F.col(id_col).cast("long"), own: digest(F.col(text_col))})
+
+    def meet(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        return left.join(right, left[id_].eqNullSafe(right[id_]) & (left[own] == right[own]), how)
+
+    kept = meet(keyed, stay, "left_semi")
+    if not again.isEmpty():
+        kept = meet(kept, again, "left_anti").unionByName(meet(kept, again, "left_semi").dropDuplicates([id_, own]))
+    return kept.drop(id_, own)
 
 
 def open_index(spark: SparkSession, name: str, buckets: int = 16) -> DigestIndex:

@@ -233,6 +233,9 @@ def main_nodes(root: Node) -> list[Node]:
     whole = next((n for n in path if n.tag == "article"), None) or next((n for n in path if n.tag == "main"), None)
     if whole is not None:
         return [whole]
+    # without such a part, blocks that are links for the most part are menus
+    for n in own:
+        n.children = [c for c in n.children if not (isinstance(c, Node) and c.tag in BLOCK and c.link_tags >= 3 and 2 * c.link_chars > c.chars)]
     if best is body or best is root:
         return [best]
     parent = best.parent

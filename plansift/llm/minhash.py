@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 #: Words in a shingle.
 WORDS = 5
 #: 2 ** BIN_BITS bins.
-BIN_BITS = 7
+BIN_BITS = 8
 #: Low-order bits kept of each bin: one hexadecimal digit.
 KEPT_BITS = 4
 SPACES = "\x20\t\n\x0b\x0c\r"

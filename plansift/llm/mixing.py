@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plansift.llm.rows import unused
 from plansift.session import settle
 
 #: A word, in Java's regular expressions.
@@ -203,15 +204,15 @@ def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the number of rows is the number of copies in the mix.
     """
     mixed = settle(mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **params), "mix")
-    key = ["__id", "__source", "__size"]
-    of = mixed.select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies")
-    ).groupBy(*key).agg(F.sort_array(F.collect_list("__copies"), asc=False).alias("__of"))
-    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__source": F.col(source_col).cast("string"), "__size": size_of(F.col(text_col))})
-    same = (keyed["__id"].eqNullSafe(of["__id"])) & (keyed["__source"].eqNullSafe(of["__source"])) & (keyed["__size"] == of["__size"])
-    joined = keyed.join(of, same).select(*[keyed[c] for c in keyed.columns], "__of")
-    single = joined.filter(F.size("__of") == 1).withColumn("__n", F.element_at("__of", 1))
-    turn = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(text_col), F.col(text_col)))
-    shared = joined.filter(F.size("__of") > 1).withColumn("__n", F.element_at("__of", turn))
-    both = single.unionByName(shared).filter("__n > 0")
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).drop(*key, "__of", "__n", "__copy")
+    id_, source, size, all_, own, copy = unused(docs, "__id", "__source", "__size", "__all", "__own", "__copy")
+    of = mixed.groupBy(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("z")).agg(
+        F.sort_array(F.collect_list("copies"), asc=False).alias(all_)
+    )
+    keyed = docs.withColumns({id_: F.col(id_col).cast("long"), source: F.col(source_col).cast("string"), size: size_of(F.col(text_col))})
+    same = keyed[id_].eqNullSafe(of["i"]) & keyed[source].eqNullSafe(of["s"]) & (keyed[size] == of["z"])
+    joined = keyed.join(of, same).select(*[keyed[c] for c in keyed.columns], of[all_])
+    single = joined.filter(F.size(all_) == 1).withColumn(own, F.element_at(all_, 1))
+    turn = F.row_number().over(Window.partitionBy(id_, source, size).orderBy(F.xxhash64(text_col), F.col(text_col)))
+    shared = joined.filter(F.size(all_) > 1).withColumn(own, F.element_at(all_, turn))
+    both = single.unionByName(shared).filter(F.col(own) > 0)
+    return both.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(own)))).drop(id_, source, size, all_, own, copy)

@@ -20,6 +20,17 @@ def text_or_empty(text_col: str | Column) -> Column:
     return F.coalesce((F.col(text_col) if isinstance(text_col, str) else text_col).cast("string"), F.lit(""))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of ``df`` has it (in any case)."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def map_columns(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
     """Map batches of columns, as Python lists, to batches of columns.
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plansift.llm.rows import identified, map_columns
+from plansift.llm.rows import identified, map_columns, unused
 from plansift.operators.graph import connected_components
 from plansift.session import settle
 
@@ -188,15 +188,13 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id"
     ids that stay.
     """
     found = settle(near_components(docs, threshold, id_col, text_col), "components")
-    stay = settle(
-        found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n")), "representatives"
-    )
-    own = docs[id_col].cast("long").eqNullSafe(F.col("__id"))
-    once = docs.join(stay.filter("__n = 1"), own, "left_semi")
-    several = stay.filter("__n > 1")
+    id_, n, turn = unused(docs, "__id", "__n", "__turn")
+    stay = settle(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(id_)).agg(F.count(F.lit(1)).alias(n)), "representatives")
+    own = docs[id_col].cast("long") == F.col(id_)
+    out = docs.join(stay.filter(F.col(n) == 1), own, "left_semi")
+    several = stay.filter(F.col(n) > 1)
     if not several.isEmpty():
-        turn = Window.partitionBy(F.col(id_col)).orderBy(F.xxhash64(text_col), F.col(text_col))
-        one = docs.join(several, own, "left_semi").withColumn("__turn", F.row_number().over(turn)).filter("__turn = 1").drop("__turn")
-        once = once.unionByName(one)
+        order = Window.partitionBy(F.col(id_col)).orderBy(F.xxhash64(text_col), F.col(text_col))
+        out = out.unionByName(docs.join(several, own, "left_semi").withColumn(turn, F.row_number().over(order)).filter(F.col(turn) == 1).drop(turn))
     nameless = docs.filter(F.col(id_col).isNull())
-    return once if nameless.isEmpty() else once.unionByName(nameless)
+    return out if nameless.isEmpty() else out.unionByName(nameless)
