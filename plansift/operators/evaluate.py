@@ -118,9 +118,12 @@ def random_neighbours(queries: DataFrame, index: DataFrame, k: int, id_col: str
     Index rows get a hash; each query starts at its own hash and takes the
     rows that follow, which needs ranks of the index only and no pairs.
     """
+    from plansift.sources.readers import with_row_numbers
+
     n = index.count()
-    ranked = index.select(F.col(id_col).alias("candidate")).withColumn("at", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "candidate"), "candidate")) - 1)
+    hashed = index.select(F.col(id_col).alias("candidate")).withColumn("h", F.xxhash64(F.lit(seed), "candidate"))
+    ranked = with_row_numbers(hashed, ["h", "candidate"], "at").select("candidate", (F.col("at") - 1).alias("at"))
     starts = queries.select(F.col(id_col).alias("query")).withColumn("start", F.pmod(F.xxhash64(F.lit(seed + 1), "query"), F.lit(max(n, 1))))
-    wanted = starts.select("query", "start", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("pos")).select("query", "pos", F.pmod(F.col("start") + F.col("pos"), F.lit(max(n, 1))).cast("int").alias("at"))
+    wanted = starts.select("query", "start", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("pos")).select("query", "pos", F.pmod(F.col("start") + F.col("pos"), F.lit(max(n, 1))).cast("long").alias("at"))
     met = wanted.join(ranked, "at").filter("query <> candidate")
     return met.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("pos"))).filter(F.col("rank") <= k).select("query", "candidate", "rank")

@@ -133,3 +133,47 @@ def family(linked: DataFrame, items: DataFrame, family_col: str) -> DataFrame:
     """One non-empty family of each stem: the least."""
     own = items.select("item", F.col(family_col).alias("family")).filter("family <> ''")
     return linked.join(own, "item").groupBy("stem").agg(F.min("family").alias("family"))
+
+
+# Shapes of drawing numbers, and the least length of a second-pass key.
+SHAPES = (r"3A[UX][AD]\d+", r"D\d{4,}[-A-Z0-9]*", r"\d{6,}-DRW\d+")
+SECOND_LENGTH = 5
+
+
+def second_keys(file_name: Column) -> Column:
+    """Keys of the second pass: parts, dash-ranges, bracketed parts and drawing-number shapes of five characters or more."""
+    stem = F.regexp_replace(file_name, r"\.[^.\s]+$", "")
+    parts = F.filter(F.split(stem, r"[\s_;]+"), lambda p: p != "")
+
+    def ranges(token: Column) -> Column:
+        own = F.split(token, "-")
+        n = F.size(own)
+        return F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.array_join(F.slice(own, i, k), "-"))))
+
+    shaped = [F.regexp_extract_all(stem, F.lit(s), 0) for s in SHAPES]
+    keys = F.concat(F.array(stem), parts, F.flatten(F.transform(parts, ranges)), F.regexp_extract_all(stem, F.lit(r"\(([^)]+)\)"), F.lit(1)), *shaped)
+    return F.array_distinct(_long(keys, SECOND_LENGTH))
+
+
+def stands_free(text: Column, needle: Column) -> Column:
+    """Whether a needle stands in a text between characters that are not ASCII letters or digits."""
+    quoted = F.concat(F.lit(r"(?:^|[^A-Za-z0-9])\Q"), needle, F.lit(r"\E(?:[^A-Za-z0-9]|$)"))
+    return F.regexp_like(text, quoted)
+
+
+def second_pass(files: DataFrame, edges: DataFrame, most: int = 5, parts: int = 8) -> DataFrame:
+    """``stem, key, row_no``: rows whose description holds the longest key that any description holds, the first ``most``.
+
+    ``edges`` has ``row_no, parent_desc, component_desc``. Keys that are whole
+    alphanumeric runs meet descriptions by equality with their inner runs; a
+    key of equal length to the longest counts in the order of its text.
+    """
+    from pyspark.sql import Window
+
+    keys = files.select("stem", F.explode(second_keys(F.col("stem"))).alias("key"))
+    both = edges.select("row_no", F.explode(F.array("parent_desc", "component_desc")).alias("d")).filter("d is not null")
+    inner = both.select("row_no", F.explode(inside_keys(F.col("d"), parts)).alias("key")).distinct()
+    met = keys.join(inner, "key")
+    longest = met.groupBy("stem").agg(F.min(F.struct((-F.char_length("key")).alias("n"), "key")).alias("m")).select("stem", F.col("m.key").alias("key"))
+    order = Window.partitionBy("stem").orderBy("row_no")
+    return met.join(longest, ["stem", "key"]).withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= most).select("stem", "key", "row_no")

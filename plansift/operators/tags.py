@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plansift.functions.text import clauses, is_negated, light_text, tokens
+from plansift.session import small
 
 # Process hints by line: words of drawing notes, English only.
 PROCESS_RULES: dict[str, str] = {
@@ -39,7 +40,7 @@ def tag_units(units: DataFrame, vocabulary: DataFrame, id_col: str = "unit", tex
 
     words = tokens(F.replace(F.col("clause"), F.lit(","), F.lit(" ")))
     looked = parts.withColumn("anchor", F.explode(F.element_at(F.transform(F.array(words), runs), 1)))
-    found = looked.join(F.broadcast(vocabulary.select("form", "category").distinct()), F.upper(F.trim("anchor")) == F.col("form")).drop("form")
+    found = looked.join(small(vocabulary.select("form", "category").distinct()), F.upper(F.trim("anchor")) == F.col("form")).drop("form")
     ruled = [parts.withColumn("anchor", F.explode(F.regexp_extract_all("clause", F.lit(WELD_SIZE), 0))).withColumn("category", F.lit("weld_quality"))]
     ruled.append(parts.withColumn("anchor", F.explode(F.regexp_extract_all("clause", F.lit(HOLE_FIT), 0))).withColumn("category", F.lit("fits")))
     ruled += [parts.withColumn("anchor", F.regexp_extract("clause", r, 0)).filter("anchor <> ''").withColumn("category", F.lit("surface")) for r in SURFACE_RULES]

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plansift.plans import linking, reading, searching
+from plansift.plans import describing, linking, reading, searching
 
-_PAIRS = [*linking.PAIRS, *searching.PAIRS, *reading.PAIRS]
+_PAIRS = [*linking.PAIRS, *searching.PAIRS, *reading.PAIRS, *describing.PAIRS]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f, _ in _PAIRS}
 ORACLES: dict[str, str] = {f.__name__: sql for f, sql in _PAIRS if sql}

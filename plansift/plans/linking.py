@@ -13,7 +13,7 @@ from plansift.operators.fields import part_type
 from plansift.operators.fingerprint import first_on_page
 from plansift.operators.linkage import family, link, link_heads, reach
 from plansift.operators.models import frequent_labels
-from plansift.session import table
+from plansift.session import small, table
 
 
 def _files(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,7 +67,7 @@ _BOM_COMPONENTS = """
 
 def prod_line_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Production lines of each order that are frequent enough to be learnt."""
-    centers = table(spark, sf, "supplier").join(F.broadcast(table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("label"))
+    centers = table(spark, sf, "supplier").join(small(table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("label"))
     labelled = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").join(centers, F.col("l_suppkey") == F.col("s_suppkey")).filter("label <> ''").select(F.col("l_orderkey").alias("stem"), "label").distinct()
     # a label set is small by nature: lines, not documents
     return labelled.join(frequent_labels(labelled, "stem", "label", 20).select("label"), "label", "left_semi").select("stem", "label")

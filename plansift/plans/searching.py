@@ -10,7 +10,7 @@ from plansift.operators import evaluate
 from plansift.operators.features import ALPHA_TOKEN, ALPHA_WORDS, ANY_TOKEN, CHARS, WORDS, as_rows, document_frequency, fit_idf, term_counts, tfidf, weigh
 from plansift.operators.retrieval import assignment_score, best_pairs_mean, knn, postings_similarity, rank_within, sparse_knn, union_of_encoders
 from plansift.operators.splits import by_rarest_label, round_robin
-from plansift.session import table
+from plansift.session import small, table
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,7 +111,7 @@ def _label_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """All pairs of different labels' views with their similarity: an equality join within a block number per label pair."""
     v = _vectors(spark, sf)
     k = v.select("label").distinct()
-    grid = k.select(F.col("label").alias("la")).crossJoin(F.broadcast(k.select(F.col("label").alias("lb")))).filter("la <> lb")
+    grid = k.select(F.col("label").alias("la")).crossJoin(small(k.select(F.col("label").alias("lb")), 1000)).filter("la <> lb")
     a = v.select(F.col("label").alias("la"), F.col("embedding").alias("ea"), F.col("vec_id").alias("va"))
     b = v.select(F.col("label").alias("lb"), F.col("embedding").alias("eb"), F.col("vec_id").alias("vb"))
     return grid.join(a, "la").join(b, "lb").select("la", "lb", "va", "vb", dot(F.col("ea"), F.col("eb")).alias("sim"))
@@ -134,7 +134,7 @@ def minmax_fusion(spark: SparkSession, sf: str) -> DataFrame:
     pooled = mean_pool(_vectors(spark, sf), "label", "embedding")
     a = pooled.select(F.col("label").alias("la"), F.col("embedding").alias("ea"))
     b = pooled.select(F.col("label").alias("lb"), F.col("embedding").alias("eb"))
-    second = a.crossJoin(F.broadcast(b)).filter("la <> lb").select("la", "lb", dot(F.col("ea"), F.col("eb")).alias("pooled"))
+    second = a.crossJoin(small(b, 1000)).filter("la <> lb").select("la", "lb", dot(F.col("ea"), F.col("eb")).alias("pooled"))
     first = best_pairs_mean(_label_pairs(spark, sf), ["la", "lb"], "sim", 2)
     both = evaluate.min_max(evaluate.min_max(first.join(second, ["la", "lb"]), "score", "x"), "pooled", "y")
     mixed = both.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in (1.0, 0.75, 0.5, 0.25, 0.0)])))

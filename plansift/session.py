@@ -75,3 +75,17 @@ def forget_settled(spark: SparkSession) -> int:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables under ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows that a side may have to be sent to all tasks.
+SMALL_ROWS = 50_000
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has no more than ``most`` rows; else as it is, for a shuffle join.
+
+    Counting stops after ``most`` rows.
+    """
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plansift.session import settle
+
 # Columns of the business tables as they are exported.
 ITEMS = ("Item", "Item description", "Product family description", "Net weight")
 EDGES = ("Parent part", "Component", "Parent part description", "Component description")
@@ -44,8 +46,9 @@ def with_row_numbers(df: DataFrame, order: list[str], name: str = "row_no") -> D
     """Row numbers from 1 by an order of the data's own, dealt within ranges: no task sorts all rows."""
     from pyspark.sql import Window
 
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id())
-    ranged = ranged.sortWithinPartitions(*order).withColumn("__no", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    # written, so that both uses below see the same ranges
+    ranged = settle(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id()), "ranges")
+    ranged = ranged.withColumn("__no", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).drop("__n")
     return ranged.join(F.broadcast(before), "__part").withColumn(name, F.col("__no") + F.col("__before")).drop("__part", "__no", "__before")
