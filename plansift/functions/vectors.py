@@ -12,7 +12,7 @@ EPSILON = 1e-9
 
 
 def dot(a: Column, b: Column) -> Column:
-    """The dot product, summed in doubles."""
+    """The dot product, summed in doubles; for many pairs see :mod:`plansift.operators.retrieval`."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 

@@ -13,7 +13,7 @@ from plansift.operators.fields import part_type
 from plansift.operators.fingerprint import first_on_page
 from plansift.operators.linkage import family, link, link_heads, reach
 from plansift.operators.models import frequent_labels
-from plansift.session import small, table
+from plansift.session import small, table, texts
 
 
 def _files(spark: SparkSession, sf: str) -> DataFrame:
@@ -166,7 +166,7 @@ _HISTOGRAM_COMPONENTS = """
 
 def quartiles_words(spark: SparkSession, sf: str) -> DataFrame:
     """Quartiles of words per document by language, as values at ``floor(p n)``."""
-    d = table(spark, sf, "documents").select("lang", F.size(tokens(F.col("text"))).cast("long").alias("words"))
+    d = texts(spark, sf).select("lang", F.size(tokens(F.col("text"))).cast("long").alias("words"))
     return stats.quartiles_by_index(d, "words", ["lang"])
 
 
@@ -179,7 +179,7 @@ _QUARTILES_WORDS = r"""
 
 def composition_by_source(spark: SparkSession, sf: str) -> DataFrame:
     """Documents, mean size and share with several lines, for everything and each source."""
-    d = table(spark, sf, "documents").withColumn("several", F.contains("text", F.lit("\n")).cast("int"))
+    d = texts(spark, sf).withColumn("several", F.contains("text", F.lit("\n")).cast("int"))
     d.createOrReplaceTempView("plansift_composition")
     out = spark.sql("SELECT source, count(*) AS docs, round(avg(n_chars), 6) AS mean_chars, round(avg(several), 6) AS several_lines FROM plansift_composition GROUP BY GROUPING SETS ((), (source))")
     return out.select(F.coalesce("source", F.lit("ALL")).alias("source"), "docs", "mean_chars", "several_lines")
@@ -320,7 +320,7 @@ _COMPONENT_COVERAGE = """
 
 def line_df_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Lines that stand in more than half a percent of the documents."""
-    lines = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    lines = texts(spark, sf).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     return frequent_lines(lines, "doc_id", "line", 0.005)
 
 
@@ -332,7 +332,7 @@ _LINE_DF_FILTER = r"""
 
 def crosspage_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of conversations that are on no earlier turn; repeats within a turn stay."""
-    lines = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    lines = texts(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("no", "line"))
     return first_on_page(lines, "conv_id", "turn", F.trim(F.lower("line"))).select("conv_id", "turn", "no", "line")
 
 
@@ -354,7 +354,7 @@ _UNDOUBLE_NAMES = "SELECT p_partkey, CASE WHEN p_size > 25 THEN p_name ELSE p_na
 
 def light_clean_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of each kind that light cleaning tells apart, by language."""
-    d = table(spark, sf, "documents").select("lang", F.explode(light_clean(F.col("text"))).alias("t"))
+    d = texts(spark, sf).select("lang", F.explode(light_clean(F.col("text"))).alias("t"))
     return d.groupBy("lang", F.col("t.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -372,7 +372,7 @@ STOP = ("THE", "AND", "OF", "TO", "IN", "IS", "DER", "DIE", "UND", "DE", "LA", "
 
 def raw_token_stopwords(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of each document, with and without stop words."""
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf)
     return d.select("doc_id", F.size(tokens(F.col("text"))).alias("n_all"), F.size(without_stop_words(F.col("text"), list(STOP))).alias("n_kept"))
 
 
@@ -386,7 +386,7 @@ PATTERNS = {"license": r"(?i)licen[cs]e", "at_sign": r"@", "number": r"[0-9]+",
 
 def pattern_hits(spark: SparkSession, sf: str) -> DataFrame:
     """Documents and hits of each pattern by language."""
-    return stats.pattern_hits(table(spark, sf, "documents"), "text", PATTERNS, ["lang"])
+    return stats.pattern_hits(texts(spark, sf), "text", PATTERNS, ["lang"])
 
 
 _PATTERN_HITS = "SELECT lang, count(*) AS docs, " + ", ".join(
@@ -407,7 +407,7 @@ _HEAD_NOUN_TYPE = r"""
 
 def log_size_buckets(spark: SparkSession, sf: str) -> DataFrame:
     """Documents by the power of two of their size."""
-    return table(spark, sf, "documents").groupBy(stats.log_bucket(F.col("n_chars")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return texts(spark, sf).groupBy(stats.log_bucket(F.col("n_chars")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _LOG_SIZE_BUCKETS = "SELECT floor(log2(greatest(n_chars, 1)))::INT AS bucket, count(*) AS n FROM documents GROUP BY 1"
@@ -415,7 +415,7 @@ _LOG_SIZE_BUCKETS = "SELECT floor(log2(greatest(n_chars, 1)))::INT AS bucket, co
 
 def length_correlation(spark: SparkSession, sf: str) -> DataFrame:
     """Correlation of size with words, and words by quartile of size."""
-    d = table(spark, sf, "documents").select("n_chars", F.size(tokens(F.col("text"))).alias("words"))
+    d = texts(spark, sf).select("n_chars", F.size(tokens(F.col("text"))).alias("words"))
     cuts = d.agg(F.percentile("n_chars", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     at = F.size(F.filter("q", lambda q: F.col("n_chars") > q))
     marked = d.crossJoin(F.broadcast(cuts)).withColumn("quartile", at)
@@ -434,7 +434,7 @@ def incremental_done_antijoin(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that nobody has labelled yet."""
     from plansift.streaming.incremental import pending
 
-    return pending(table(spark, sf, "documents").select("doc_id", "source"), table(spark, sf, "labels"), "doc_id")
+    return pending(texts(spark, sf).select("doc_id", "source"), table(spark, sf, "labels"), "doc_id")
 
 
 _INCREMENTAL_DONE_ANTIJOIN = "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
@@ -454,7 +454,7 @@ _INDICATOR_PIVOT = "SELECT doc_id, max((quality = 1)::INT) AS is_quality, max((t
 
 def word_count_route(spark: SparkSession, sf: str) -> DataFrame:
     """Documents by route: few words go to recognition."""
-    d = table(spark, sf, "documents").withColumn("route", F.when(F.size(tokens(F.col("text"))) <= 50, "ocr").otherwise("vector"))
+    d = texts(spark, sf).withColumn("route", F.when(F.size(tokens(F.col("text"))) <= 50, "ocr").otherwise("vector"))
     return d.groupBy("lang", "route").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -465,7 +465,7 @@ _WORD_COUNT_ROUTE = r"""
 
 def duplicate_first(spark: SparkSession, sf: str) -> DataFrame:
     """The first document of each text."""
-    return table(spark, sf, "documents").groupBy(F.xxhash64("text").alias("__h"), F.sha2("text", 256).alias("__s")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return texts(spark, sf).groupBy(F.xxhash64("text").alias("__h"), F.sha2("text", 256).alias("__s")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
 _DUPLICATE_FIRST = "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text"
@@ -473,7 +473,7 @@ _DUPLICATE_FIRST = "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text"
 
 def best_run_per_group(spark: SparkSession, sf: str) -> DataFrame:
     """The source with the greatest mean size of each language."""
-    m = table(spark, sf, "documents").groupBy("lang", "source").agg(F.avg("n_chars").alias("score"))
+    m = texts(spark, sf).groupBy("lang", "source").agg(F.avg("n_chars").alias("score"))
     return stats.best_per_group(m, "lang", "score", "source").select("lang", "source", F.round("score", 6).alias("score"))
 
 

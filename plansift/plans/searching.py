@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from plansift.functions.vectors import dot, mean_pool, top_views, unit
 from plansift.operators import evaluate
 from plansift.operators.features import ALPHA_TOKEN, ALPHA_WORDS, ANY_TOKEN, CHARS, WORDS, as_rows, document_frequency, fit_idf, term_counts, tfidf, weigh
-from plansift.operators.retrieval import assignment_score, best_pairs_mean, knn, postings_similarity, rank_within, sparse_knn, union_of_encoders
+from plansift.operators.retrieval import assignment_score, group_scores, knn, postings_similarity, rank_within, sparse_knn, union_of_encoders
 from plansift.operators.splits import by_rarest_label, round_robin
-from plansift.session import small, table
+from plansift.session import small, table, texts
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,19 +107,9 @@ def method_overlap(spark: SparkSession, sf: str) -> DataFrame:
 _METHOD_OVERLAP = _PAIRS + "SELECT 'full' AS first, 'half' AS second, round(count(*) FILTER (rank <= 5 AND hrank <= 5) / count(DISTINCT query), 6) AS shared FROM r"
 
 
-def _label_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """All pairs of different labels' views with their similarity: an equality join within a block number per label pair."""
-    v = _vectors(spark, sf)
-    k = v.select("label").distinct()
-    grid = k.select(F.col("label").alias("la")).crossJoin(small(k.select(F.col("label").alias("lb")), 1000)).filter("la <> lb")
-    a = v.select(F.col("label").alias("la"), F.col("embedding").alias("ea"), F.col("vec_id").alias("va"))
-    b = v.select(F.col("label").alias("lb"), F.col("embedding").alias("eb"), F.col("vec_id").alias("vb"))
-    return grid.join(a, "la").join(b, "lb").select("la", "lb", "va", "vb", dot(F.col("ea"), F.col("eb")).alias("sim"))
-
-
 def topk_view_score(spark: SparkSession, sf: str) -> DataFrame:
     """Similarity of two labels as the mean of their two best pairs of views."""
-    return best_pairs_mean(_label_pairs(spark, sf), ["la", "lb"], "sim", 2).select("la", "lb", F.round("score", 6).alias("score"))
+    return group_scores(_vectors(spark, sf), "label", "vec_id", "embedding", 2).select(F.col("a").alias("la"), F.col("b").alias("lb"), F.round("score", 6).alias("score"))
 
 
 _LABEL_SCORES = _PAIRS + """
@@ -135,7 +125,7 @@ def minmax_fusion(spark: SparkSession, sf: str) -> DataFrame:
     a = pooled.select(F.col("label").alias("la"), F.col("embedding").alias("ea"))
     b = pooled.select(F.col("label").alias("lb"), F.col("embedding").alias("eb"))
     second = a.crossJoin(small(b, 1000)).filter("la <> lb").select("la", "lb", dot(F.col("ea"), F.col("eb")).alias("pooled"))
-    first = best_pairs_mean(_label_pairs(spark, sf), ["la", "lb"], "sim", 2)
+    first = group_scores(_vectors(spark, sf), "label", "vec_id", "embedding", 2).select(F.col("a").alias("la"), F.col("b").alias("lb"), "score")
     both = evaluate.min_max(evaluate.min_max(first.join(second, ["la", "lb"]), "score", "x"), "pooled", "y")
     mixed = both.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in (1.0, 0.75, 0.5, 0.25, 0.0)])))
     return mixed.select("la", "lb", "alpha", F.round(F.col("alpha") * F.col("x") + (1 - F.col("alpha")) * F.col("y"), 6).alias("fused"))
@@ -216,14 +206,14 @@ _NEAR = _ALPHA + """
 
 def tfidf_weights(spark: SparkSession, sf: str) -> DataFrame:
     """Weights of words and pairs of words of every document."""
-    return tfidf(table(spark, sf, "documents"), "doc_id", "text", WORDS).select("id", "term", F.round("weight", 6).alias("weight"))
+    return tfidf(texts(spark, sf), "doc_id", "text", WORDS).select("id", "term", F.round("weight", 6).alias("weight"))
 
 
 _TFIDF_WEIGHTS = _TOKENS + "SELECT id, term, round(weight, 6) AS weight FROM w"
 
 
 def _near(spark: SparkSession, sf: str) -> DataFrame:
-    rows = as_rows(tfidf(table(spark, sf, "documents"), "doc_id", "text", ALPHA_WORDS))
+    rows = as_rows(tfidf(texts(spark, sf), "doc_id", "text", ALPHA_WORDS))
     return sparse_knn(rows, rows, 5)
 
 
@@ -237,7 +227,7 @@ _TFIDF_TOP5 = _NEAR + "SELECT query, candidate, rank::INT AS rank, round(sim, 6)
 
 def tfidf_newdoc(spark: SparkSession, sf: str) -> DataFrame:
     """The five nearest documents of each new text, weighed by what the documents' fit knows."""
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf)
     counts = term_counts(d, "doc_id", "text", ALPHA_WORDS)
     idf = fit_idf(counts, d.count(), ALPHA_WORDS)
     new = weigh(term_counts(table(spark, sf, "benchmark"), "item_id", "text", ALPHA_WORDS), idf)
@@ -254,7 +244,7 @@ _TFIDF_NEWDOC = _ALPHA + f"""
 
 def charwb_df(spark: SparkSession, sf: str) -> DataFrame:
     """In how many documents each run of three or four characters within words is."""
-    return document_frequency(term_counts(table(spark, sf, "documents"), "doc_id", "text", CHARS), CHARS)
+    return document_frequency(term_counts(texts(spark, sf), "doc_id", "text", CHARS), CHARS)
 
 
 _CHARWB_DF = r"""
@@ -267,7 +257,7 @@ _CHARWB_DF = r"""
 
 
 def _voted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    d = table(spark, sf, "documents").select("doc_id", "lang")
+    d = texts(spark, sf).select("doc_id", "lang")
     votes = evaluate.vote(_near(spark, sf), d, 1, key="doc_id", value="lang")
     return d, votes, votes.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.col("votes").desc(), "value"))).filter("r = 1")
 
@@ -287,7 +277,7 @@ _VOTE_LANG = _VOTES + "SELECT doc_id, lang, value AS predicted, coalesce(votes,
 
 def loo_overlap_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Leave-one-out measures of the neighbours' sources and languages as label sets, at two votes."""
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf)
     labels = d.select("doc_id", F.explode(F.array("lang", "source")).alias("value"))
     found = evaluate.vote(_near(spark, sf), labels, 2, key="doc_id")
     agg = evaluate.overlap(labels.withColumnRenamed("doc_id", "query"), found).agg(*evaluate.summary())
@@ -349,7 +339,7 @@ def token_capture(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens per document and terms lost to the least document frequency."""
     from plansift.operators.stats import token_capture as capture
 
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf)
     counts = term_counts(d, "doc_id", "text", ALPHA_WORDS)
     terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).agg(F.count(F.lit(1)).alias("terms"), F.sum((F.col("df") >= 2).cast("int")).alias("terms_kept"))
     return capture(d, "doc_id", counts).crossJoin(terms).select("least", F.round("mean", 6).alias("mean"), "most", "empty", "terms", "terms_kept")
@@ -380,7 +370,7 @@ def classify_lr(spark: SparkSession, sf: str) -> DataFrame:
     from plansift.operators.features import Config
     from plansift.operators.models import train_labels
 
-    d = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    d = texts(spark, sf).select("doc_id", "text", "lang")
     split = by_rarest_label(d, "doc_id", "lang")
     model = train_labels(d.join(split.filter("split = 'train'"), "doc_id", "left_semi"), d.select("doc_id", F.col("lang").alias("label")), "doc_id", "text", "label", Config(high=1))
     test = d.join(split.filter("split = 'test'"), "doc_id", "left_semi")

@@ -77,6 +77,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer parts than there are cores, dealt to all cores; any other table as it is.
+
+    Small tables come in one file that one task would read and work on alone.
+    A table of many files or row groups is never shuffled by this.
+    """
+    held = df._jdf.queryExecution()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in held.executedPlan().toString() or held.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose rows take long to work on."""
+    return spread(table(spark, sf_dir, name))
+
+
 #: Rows that a side may have to be sent to all tasks.
 SMALL_ROWS = 50_000
 
