@@ -91,12 +91,15 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
         .groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("copies")),
         "digests",
     )
+    once = index is None
     if index is None:
         index = DigestIndex(spark, buckets=buckets_for(rows.count()))
     groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
     batch = index.append(groups.select("digest", "keep_id"))
     # both sides have one row per digest; written, so that the join below can still split the rows of a hot digest
     held = settle(groups.drop("keep_id").join(index.table.hint("merge"), "digest"), "held")
+    if once:  # an index that nobody named serves this batch alone
+        spark.sql(f"DROP TABLE {index.name}")
     return (
         rows.join(held.hint("merge"), "digest")
         .select(

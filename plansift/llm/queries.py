@@ -17,47 +17,47 @@ from plansift.llm.pii import find
 from plansift.llm.quality import quality
 from plansift.llm.simhash import hex_of, near_components
 from plansift.llm.toxicity import toxicity
-from plansift.session import table
+from plansift.session import table, texts
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies of every document; of equal texts the row with the largest id stays."""
-    return exact_dedup(table(spark, sf_dir, "documents")).drop("known")
+    return exact_dedup(texts(spark, sf_dir)).drop("known")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The article of every page."""
-    return extract(table(spark, sf_dir, "pages"))
+    return extract(texts(spark, sf_dir, "pages"))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of 150% of all words takes of every document."""
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mix(texts(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity(texts(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document."""
-    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality(texts(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
-    return find(table(spark, sf_dir, "documents"))
+    return find(texts(spark, sf_dir))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licenses named in every document."""
-    return summary(scan(table(spark, sf_dir, "documents")))
+    return summary(scan(texts(spark, sf_dir)))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text, and their likenesses."""
-    return edited_likeness(table(spark, sf_dir, "documents")).select(
+    return edited_likeness(texts(spark, sf_dir)).select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("fingerprint")).alias("fingerprint"),
         as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next",
     )
@@ -65,12 +65,12 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies of every document by fingerprint."""
-    return near_components(table(spark, sf_dir, "documents")).select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+    return near_components(texts(spark, sf_dir)).select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens in as few sequences of 2048 as can be."""
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(texts(spark, sf_dir))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

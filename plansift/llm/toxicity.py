@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from plansift.llm.boosting import Trees, calibrated, fit_trees, isotonic, out_of_fold
 from plansift.llm.labelled import SAMPLE, held_out, training_rows
 from plansift.llm.rows import identified, map_columns
+from plansift.session import settle
 
 TOXIC_FROM = 0.3
 #: Entries of the learnt lexicon at most; those with most evidence stay.
@@ -144,7 +145,8 @@ Model = tuple[Trees, tuple[np.ndarray, np.ndarray], dict[str, tuple[int, int]],
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Lexicon, trees and calibration from labelled rows outside the held-out part."""
-    rows = training_rows(docs, labels, label, sample, id_col, text_col)
+    # read three times below; a bounded number of rows, so one pass over the documents is enough
+    rows = settle(training_rows(docs, labels, label, sample, id_col, text_col), "labelled")
     lexicon, share = learn_lexicon(rows)
 
     def make():
