@@ -102,7 +102,7 @@ LICENSES: dict[str, tuple[str, str, str, str]] = {
 #: Names that mean something only beside the word license.
 BARE_NEEDS_WORD = {"mit", "isc", "zlib", "ruby", "curl", "cc0", "cc-by", "wtfpl", "unlicense"}
 #: Words of which every text that some rule matches has one.
-GATE = r"(?i)licen[cs]|spdx|creative ?commons|\bcc[- ]by|\bcc0\b|public domain|rights reserved|gnu |apache|mozilla|opensource\.org|unlicense|wtfpl|opendatacommons|dedication|boost|eclipse"
+GATE = r"(?i)licen[cs]|spdx|creative ?commons|\bcc[- ]by|\bcc0\b|public domain|rights reserved|gnu |apache|mozilla|opensource\.org|unlicense|wtfpl|opendatacommons|dedication|boost|eclipse|bsd|sil\.org/ofl|/docs/copyright|bsl11|joinup\.|\b(?:released|distributed|available|published|provided)\s+under\b|redistribute\b"
 #: What a detection of each priority is worth, in order.
 WORTH = (1.0, 0.95, 0.9, 0.6)
 

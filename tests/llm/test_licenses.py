@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from plansift.llm.license_scan import LICENSES, PHRASES, detections, rules, scan, summary
+from plansift.llm.license_scan import BARE_NEEDS_WORD, GATE, LICENSES, PHRASES, detections, rules, scan, summary
 from tests.llm.cases import clashing, documents, empty
 
 
@@ -66,3 +66,23 @@ def test_odd_tables(spark):
     plan = summary(scan(documents(spark)))._jdf.queryExecution().executedPlan().toString()
     # the rules themselves speak of Python, so operators are looked for by their names
     assert not re.search(r"\b(?:\w*Exchange|\w*EvalPython|MapIn\w+|\w*InPandas)\b", plan)
+
+
+def plain(pattern):
+    """A text that a pattern matches: first choices, optional parts left in, in their plain form."""
+    before = None
+    while before != pattern:
+        before, pattern = pattern, re.sub(r"\(\?[:!]((?:[^()|]|\|(?=\b\B))*)(?:\|[^()]*)?\)\??", lambda m: "" if m[0].startswith("(?!") else m[1], pattern)
+    pattern = re.sub(r"\[(.)[^\]]*\]\??", r"\1", pattern)
+    return re.sub(r"\\S\*", "x", re.sub(r"(?<!\\)\?", "", pattern)).replace("\\", "")
+
+
+def test_no_rule_is_shut_out_by_the_gate_or_its_keyword():
+    for label, (keyword, name, spdx, address) in LICENSES.items():
+        texts = [plain(address), "SPDX-License-Identifier: " + plain(spdx), "released under the " + plain(name), plain(name) + " license"]
+        if label not in BARE_NEEDS_WORD:
+            texts.append(plain(name))
+        for text in texts:
+            hits = [r for r in rules() if r[1] == label and re.search(r[3], text)]
+            assert hits, (label, text)
+            assert re.search(GATE, text) and any(r[0] in text.lower() for r in hits), (label, text)
