@@ -45,7 +45,7 @@ def standards_context(spark: SparkSession, sf: str) -> DataFrame:
 
 _STANDARDS_CONTEXT = "SELECT id, family, number, suffix, context FROM " + _values([(4, "ISO", "2768", "mK", "see ISO 2768-mK for tolerances, ISO 2768-mK a"), (4, "DIN", "912", "", "ain; DIN 912")], "id, family, number, suffix, context")
 
-VENDORS = {"abb-like": ("3AUA", "3AXD"), "other": ("QD", "SQD")}
+VENDORS = {"first": ("3AUA", "3AXD"), "other": ("QD", "SQD")}
 
 
 def vendor_of_source(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,7 +54,7 @@ def vendor_of_source(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(docs_.vendor(F.col("stem"), VENDORS, "unknown").alias("vendor")).groupBy("vendor").agg(F.count(F.lit(1)).alias("n"))
 
 
-_VENDOR_OF_SOURCE = "SELECT CASE WHEN p_size > 30 THEN 'abb-like' WHEN p_size > 15 THEN 'other' ELSE 'unknown' END AS vendor, count(*) AS n FROM part GROUP BY 1"
+_VENDOR_OF_SOURCE = "SELECT CASE WHEN p_size > 30 THEN 'first' WHEN p_size > 15 THEN 'other' ELSE 'unknown' END AS vendor, count(*) AS n FROM part GROUP BY 1"
 
 
 def _typed(spark: SparkSession) -> DataFrame:

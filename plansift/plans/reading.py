@@ -132,7 +132,7 @@ _TAG_DICTIONARY = f"""
 """
 
 CELLS = [
-    (1, "Title: FRAME", False, "block"), (2, "approved by M. Smith", False, "block"), (3, "Ritala Mikko", False, "block"), (4, "welding", False, "block"), (5, "END PLATE", False, "block"), (6, "1 PLATE S355", True, "block"),
+    (1, "Title: FRAME", False, "block"), (2, "approved by M. Smith", False, "block"), (3, "Virta Pekka", False, "block"), (4, "welding", False, "block"), (5, "END PLATE", False, "block"), (6, "1 PLATE S355", True, "block"),
     (7, "per ISO 5817", False, "body"), (8, "free text without meaning", False, "body"), (9, "EF", False, "block"), (10, "Based on X", False, "block"),
 ]
 _BUCKETS = {1: "classified", 2: "debug", 3: "debug", 4: "classified", 5: "unclassified", 6: "bom", 7: "classified", 8: "unclassified", 9: "debug", 10: "unclassified"}
@@ -160,7 +160,7 @@ def fingerprint_text(spark: SparkSession, sf: str) -> DataFrame:
 
 _FINGERPRINT_TEXT = "SELECT 'a' AS stem, 'welding END PLATE per ISO 5817 free text without meaning Based on X FRAME field_part_name' AS text"
 
-CHARACTERS = [(1, "A"), (2, "F 1"), (3, "12"), (4, "123"), (5, "END PLATE"), (6, "Ritala Mikko"), (7, "EF"), (8, "xkir1"), (9, "holes"), (10, "a-b c"), (11, "")]
+CHARACTERS = [(1, "A"), (2, "F 1"), (3, "12"), (4, "123"), (5, "END PLATE"), (6, "Virta Pekka"), (7, "EF"), (8, "login7"), (9, "holes"), (10, "a-b c"), (11, "")]
 
 
 def unit_predicates(spark: SparkSession, sf: str) -> DataFrame:

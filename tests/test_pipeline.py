@@ -25,3 +25,18 @@ def test_build_train_infer(spark, small, tmp_path):
     assert r.components.count() > 0 and r.scores.count() == 2
     again = make_database(texts.limit(1), labels, {"mean": views}, str(tmp_path / "db"), config=Config(high=1))
     assert again.split.count() == 120
+
+
+def test_command_line(spark, small, tmp_path):
+    from plansift.__main__ import main
+
+    d = spark.read.parquet(f"{small}/documents.parquet").limit(100)
+    stem = F.col("doc_id").cast("string").alias("stem")
+    d.select(stem, "text").write.parquet(str(tmp_path / "texts"))
+    d.select(stem, F.col("lang").alias("label")).write.parquet(str(tmp_path / "labels"))
+    d.select(stem, F.col("source").alias("component")).write.parquet(str(tmp_path / "components"))
+    common = ["--path", str(tmp_path / "db"), "--texts", str(tmp_path / "texts"), "--labels", str(tmp_path / "labels"), "--least-label", "10"]
+    main(["make-database", *common])
+    main(["infer", *common, "--components", str(tmp_path / "components"), "--out", str(tmp_path / "out"), "--k", "2"])
+    assert spark.read.parquet(str(tmp_path / "out/text")).groupBy("query").count().agg(F.max("count")).first()[0] <= 2
+    assert spark.read.parquet(str(tmp_path / "out/components")).count() > 0
