@@ -54,6 +54,7 @@ ENDS_SAME = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "opt
 OUT = set(
     "head script style noscript template nav footer aside form button select textarea input iframe object embed svg canvas map audio video dialog menu datalist".split()
 )
+IN_HEAD = set("head title meta link base script style noscript template".split())
 OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "note"}
 OUT_CLASS = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertise(?:ment)?s?|advertising|adsense|adbox|sponsor(?:ed)?|promo(?:tion)?s?|banner|sidebar|side-?bar|aside|nav|navbar|navigation|navigator|menu|"
@@ -62,6 +63,7 @@ OUT_CLASS = re.compile(
     r"search|search-?form|copyright|tags?|tag-?cloud|byline-share|toc-nav)(?:$|[\s_-]|\d)",
     re.I,
 )
+HEADER_CLASS = re.compile(r"(?:^|\s)(?:header|top|logo)(?:$|\s)", re.I)
 #: Tags that a class name never takes out.
 KEPT = {"html", "body", "article", "main"}
 
@@ -93,6 +95,10 @@ def _unwanted(tag: str, attributes: str, stack: list[Node]) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
+        if name in ("class", "id"):
+            value = re.sub(r"([a-z])([A-Z])", r"\1-\2", value)
+            if HEADER_CLASS.search(value) and tag not in KEPT and not any(n.tag in ("article", "main") for n in stack):
+                return True
         if name in ("class", "id") and OUT_CLASS.search(value) and (tag not in KEPT or tag == "article" and re.search(r"comment|reply|respon", value, re.I)):
             return True
         if name == "itemprop" and value.lower() == "comment":
@@ -120,6 +126,8 @@ def parse(page: str) -> Node:
             if m[0] == "<" and not skip:
                 stack[-1].children.append("<")
             continue
+        if skip and not closing and (skip[0] == "head" and tag not in IN_HEAD or skip[0] in ("nav", "header") and tag in ("article", "main")):
+            skip.clear()  # a tag that was never closed ends where something begins that it cannot hold
         if skip:
             if tag in RAW and not closing:
                 ends = RAW[tag].search(page, at)

@@ -20,6 +20,10 @@ P = "A sentence with enough words to be the text of an article, and then some mo
         (f"<main><article><p>{P}</p></article><aside>{P}</aside></main>", P.strip()),
         (f"<ARTICLE><P>{P}<UL><LI>one<LI>two</UL></ARTICLE>", P.strip() + " one two"),
         (f"<article><header><h1>Title</h1></header><p>{P}</p></article>", "Title " + P.strip()),
+        (f"<head><title>t</title><body><div class=header>{P}</div><div class='siteNav'>{P}</div><p>{P * 2}</p>", (P * 2).strip()),
+        (f"<head><meta x><p>{P}</p>", P.strip()),
+        (f"<body><nav><ul><li>a<article><p>{P}</p></article>", P.strip()),
+        (f"<body><div class='postBody'><p>{P * 2}</p><div class='adBox'>buy</div></div><div id='commentList'><p>{P * 8}</p></div>", (P * 2).strip()),
         (f"<div>{'<a href=x>link text</a> ' * 30}</div><div><p>{P * 3}</p></div>", (P * 3).strip()),
     ],
 )
