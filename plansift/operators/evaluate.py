@@ -127,3 +127,10 @@ def random_neighbours(queries: DataFrame, index: DataFrame, k: int, id_col: str
     wanted = starts.select("query", "start", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("pos")).select("query", "pos", F.pmod(F.col("start") + F.col("pos"), F.lit(max(n, 1))).cast("long").alias("at"))
     met = wanted.join(ranked, "at").filter("query <> candidate")
     return met.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("pos"))).filter(F.col("rank") <= k).select("query", "candidate", "rank")
+
+
+def majority_baseline(labelled: DataFrame, label: str = "value") -> DataFrame:
+    """The most frequent label, the least of several, and how often always saying it is right."""
+    n = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    top = n.agg(F.max("n").alias("most"), F.sum("n").alias("all"))  # one row
+    return n.join(F.broadcast(top), F.col("n") == F.col("most")).groupBy("most", "all").agg(F.min(label).alias(label)).select(label, (F.col("most") / F.col("all")).alias("accuracy"))

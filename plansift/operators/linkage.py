@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plansift.functions.text import let
+
 # Least lengths of keys by use, the shape of digit ids, and suffix variants of these ids.
 KEY_LENGTH, INSIDE_LENGTH = 4, 6
 DIGIT_ID = r"^\d{7,}$"
@@ -69,9 +71,6 @@ def candidate_keys(file_name: Column) -> Column:
         more = F.flatten(F.transform(F.filter(keys, lambda k: k.rlike(DIGIT_ID)), lambda k: F.transform(F.array(*[F.lit(s) for s in SUFFIXES]), lambda s: F.concat(k, s))))
         return F.array_distinct(F.concat(keys, more))
 
-    def let(value: Column, body) -> Column:
-        return F.element_at(F.transform(F.array(value), body), 1)
-
     suffixed = let(basic, with_suffixes)
     return let(suffixed, lambda keys: F.array_distinct(F.concat(keys, F.flatten(F.transform(keys, _separated)))))
 

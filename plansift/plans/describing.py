@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from plansift.functions.vocabulary import vocabulary
 from plansift.operators import documents as docs_
-from plansift.operators.evaluate import ranking
+from plansift.operators import layout
+from plansift.operators.evaluate import majority_baseline, ranking
 from plansift.operators.fields import typed_record, typed_units
 from plansift.operators.linkage import second_pass, stands_free
 from plansift.operators.models import attention_pool, by_stated, sigmoid, vector_classifier
@@ -206,8 +207,52 @@ def vector_head(spark: SparkSession, sf: str) -> DataFrame:
     return apply(v).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("label") == F.col("predicted")).cast("double")), 6).alias("accuracy"))
 
 
+# two cells side by side at the page's edge, one away from it, a short stroke and a slanted line
+STROKES = [
+    (10.0, 10.0, 90.0, 10.0), (10.0, 40.0, 90.0, 40.0), (10.0, 10.0, 10.0, 40.0), (50.0, 10.0, 50.0, 40.0), (90.0, 10.0, 90.0, 40.0), (200.0, 200.0, 260.0, 200.0), (200.0, 230.0, 260.0, 230.0),
+    (200.0, 200.0, 200.0, 230.0), (260.0, 200.0, 260.0, 230.0), (60.0, 10.0, 60.0, 15.0), (20.0, 10.0, 40.0, 40.0), (300.0, 300.0, 340.0, 300.0),
+]
+_STROKE = "doc string, page int, x1 double, y1 double, x2 double, y2 double, width double, height double"
+
+
+def cells_of_strokes(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells that a page's strokes enclose and that hang together with its edge."""
+    rows = [("d", 0, *s, 600.0, 800.0) for s in STROKES]
+    return layout.cells_of_segments(_rows(spark, rows, _STROKE), ["doc", "page"]).select("doc", "page", "x0", "y0", "x1", "y1")
+
+
+_CELLS_OF_STROKES = "SELECT doc, page, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM " + _values([("d", 0, 10, 10, 50, 40), ("d", 0, 50, 10, 90, 40)], "doc, page, x0, y0, x1, y1")
+
+TEXT_LINES = [("d", 0, 1, 0.0, 0.0, 50.0, 10.0), ("d", 0, 2, 0.0, 15.0, 50.0, 25.0), ("d", 0, 3, 70.0, 0.0, 90.0, 10.0), ("d", 0, 4, 200.0, 0.0, 220.0, 10.0), ("d", 0, 5, 0.0, 60.0, 40.0, 70.0), ("e", 0, 6, 0.0, 0.0, 5.0, 0.2)]
+
+
+def grouped_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of text that belong together by their distance."""
+    return layout.line_groups(_rows(spark, TEXT_LINES, "doc string, page int, line int, x0 double, y0 double, x1 double, y1 double"), ["doc", "page"]).select("line", "group")
+
+
+_GROUPED_LINES = "SELECT line, grp AS \"group\" FROM " + _values([(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 6)], "line, grp")
+
+
+def degenerate_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells without those that span most of a page."""
+    d = _rows(spark, [(1, 0.0, 0.0, 69.0, 10.0), (2, 0.0, 0.0, 70.0, 10.0), (3, 0.0, 0.0, 10.0, 99.0)], "cell int, x0 double, y0 double, x1 double, y1 double").withColumns({"w": F.lit(100.0), "h": F.lit(100.0)})
+    return layout.without_degenerate(d, "w", "h").select("cell")
+
+
+_DEGENERATE_CELLS = "SELECT 1 AS cell"
+
+
+def majority_language(spark: SparkSession, sf: str) -> DataFrame:
+    """The most frequent language and how often it would be right."""
+    return majority_baseline(table(spark, sf, "documents").select(F.col("lang").alias("value"))).select("value", F.round("accuracy", 6).alias("accuracy"))
+
+
+_MAJORITY_LANGUAGE = "SELECT lang AS value, round(count(*) / (SELECT count(*) FROM documents), 6) AS accuracy FROM documents GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1"
+
 PAIRS = [
     (key_value_lines, _KEY_VALUE_LINES), (colours_treatments, _COLOURS_TREATMENTS), (standards_context, _STANDARDS_CONTEXT), (vendor_of_source, _VENDOR_OF_SOURCE), (unit_rows, _UNIT_ROWS), (prose_text, _PROSE_TEXT),
     (bucket_counts, _BUCKET_COUNTS), (json_paths, _JSON_PATHS), (event_props, _EVENT_PROPS), (legacy_fallback, _LEGACY_FALLBACK), (second_pass_linkage, _SECOND_PASS_LINKAGE), (boundary_search, _BOUNDARY_SEARCH),
     (human_agreement, _HUMAN_AGREEMENT), (judged_ranking, _JUDGED_RANKING), (neighbour_hits, _NEIGHBOUR_HITS), (stated_unstated, _STATED_UNSTATED), (attention_pooled, _ATTENTION_POOLED), (vector_head, None),
+    (cells_of_strokes, _CELLS_OF_STROKES), (grouped_lines, _GROUPED_LINES), (degenerate_cells, _DEGENERATE_CELLS), (majority_language, _MAJORITY_LANGUAGE),
 ]

@@ -121,3 +121,19 @@ def write_documents(df: DataFrame, path: str, by: str | None = None) -> None:
     """Documents as JSON, one to a line, in folders by a column if one is named."""
     out = df.write.mode("overwrite")
     (out.partitionBy(by) if by else out).json(path)
+
+
+def preprocessed(spark: SparkSession, path: str) -> DataFrame:
+    """``stem, text, page_sizes`` of folders that hold a text, its metadata and maybe blocks; folders without metadata are left out."""
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]+$", 1)
+    text = spark.read.option("pathGlobFilter", "text.txt").option("recursiveFileLookup", True).text(path, wholetext=True).select(folder.alias("folder"), F.col("value").alias("text"))
+    meta = (
+        spark.read.schema("stem string, page_sizes array<array<double>>").option("multiLine", True).option("pathGlobFilter", "meta.json").option("recursiveFileLookup", True).json(path)
+        .select(folder.alias("folder"), "stem", "page_sizes")
+    )
+    return text.join(meta.filter("stem is not null"), "folder").select("stem", "text", "page_sizes")
+
+
+def cache_key(name):
+    """The name under which the text of a file is kept: the first half of its SHA-1."""
+    return F.substring(F.sha1(name), 1, 16)

@@ -46,3 +46,13 @@ def test_judgments_and_tables(spark, tmp_path):
     again = readers.write_index(d.withColumn("a", F.lit(2)), str(tmp_path / "i"))
     assert one.collect() == again.collect()
     assert readers.write_index(d.withColumn("a", F.lit(2)), str(tmp_path / "i"), rebuild=True).first()["a"] == 2
+
+
+def test_preprocessed_folders(spark, tmp_path):
+    for name, meta in (("a", '{"stem": "A 1", "page_sizes": [[1, 2]]}'), ("b", None)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "text.txt").write_text("two\nlines")
+        if meta:
+            (tmp_path / name / "meta.json").write_text(meta)
+    assert [tuple(r) for r in readers.preprocessed(spark, str(tmp_path)).collect()] == [("A 1", "two\nlines", [[1.0, 2.0]])]
+    assert spark.range(1).select(readers.cache_key(F.lit("x.pdf")).alias("k")).first()["k"] == __import__("hashlib").sha1(b"x.pdf").hexdigest()[:16]
