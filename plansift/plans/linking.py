@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plansift.functions.text import light_clean, tokens, undouble, without_stop_words
+from plansift.functions.text import token_kind, tokens, undouble, without_stop_words
 from plansift.operators import stats
 from plansift.operators.evaluate import overlap, summary, vote
 from plansift.operators.features import frequent_lines
@@ -354,8 +354,8 @@ _UNDOUBLE_NAMES = "SELECT p_partkey, CASE WHEN p_size > 25 THEN p_name ELSE p_na
 
 def light_clean_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of each kind that light cleaning tells apart, by language."""
-    d = texts(spark, sf).select("lang", F.explode(light_clean(F.col("text"))).alias("t"))
-    return d.groupBy("lang", F.col("t.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    d = texts(spark, sf).select("lang", F.explode(tokens(F.col("text"))).alias("t"))
+    return d.groupBy("lang", token_kind(F.col("t")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _LIGHT_CLEAN_COUNTS = r"""
