@@ -11,6 +11,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
+#: Rows of a batch that are Python objects at a time.
+AT_ONCE = 1024
+
+
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text`` of any table: null texts are empty, other columns are left behind."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -35,8 +39,8 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema:
     """Map batches of columns, as Python lists, to batches of columns.
 
     ``make`` runs once per task and returns the function of a batch, so tables
-    that are costly to build are built once. Batches stream: no more than one
-    is held at a time.
+    that are costly to build are built once. Batches stream, and a batch is
+    turned into Python objects ``AT_ONCE`` rows at a time.
     """
     kind = _parse_datatype_string(schema)
     assert isinstance(kind, StructType)
@@ -45,7 +49,8 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            out = work(*(column.to_pylist() for column in batch.columns))
-            yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
+            for at in range(0, batch.num_rows, AT_ONCE):
+                out = work(*(column.to_pylist() for column in batch.slice(at, AT_ONCE).columns))
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
 
     return df.mapInArrow(run, kind)
