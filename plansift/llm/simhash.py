@@ -187,7 +187,12 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id"
     rows without an id can't be named and stay. Texts travel once, to meet the
     ids that stay.
     """
-    found = settle(near_components(docs, threshold, id_col, text_col), "components")
+    return representatives(docs, near_components(docs, threshold, id_col, text_col), id_col, text_col)
+
+
+def representatives(docs: DataFrame, components: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`keep_one` keeps, by their ``doc_id, component_id``."""
+    found = settle(components, "components")
     id_, n, turn = unused(docs, "__id", "__n", "__turn")
     stay = settle(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(id_)).agg(F.count(F.lit(1)).alias(n)), "representatives")
     own = docs[id_col].cast("long") == F.col(id_)
