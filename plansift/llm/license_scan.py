@@ -99,13 +99,15 @@ LICENSES: dict[str, tuple[str, str, str, str]] = {
     "proprietary": ("rights reserved", r"all rights reserved", r"LicenseRef-Proprietary", r"example\.invalid/proprietary-license"),
 }
 
+#: A further keyword of licenses whose name need not hold the first.
+SECOND_KEYWORDS = {"python-2": "psf", **dict.fromkeys((k for k in LICENSES if k.startswith("cc-by")), "creative")}
 #: Names that mean something only beside the word license.
 BARE_NEEDS_WORD = {"mit", "isc", "zlib", "ruby", "curl", "cc0", "cc-by", "wtfpl", "unlicense"}
 #: Words of which every text that some rule matches has one.
-GATE = r"(?i)licen[cs]|spdx|creative ?commons|\bcc[- ]by|\bcc0\b|public domain|rights reserved|gnu |apache|mozilla|opensource\.org|unlicense|wtfpl|opendatacommons|dedication|boost|eclipse|bsd|sil\.org/ofl|/docs/copyright|bsl11|joinup\.|\b(?:released|distributed|available|published|provided)\s+under\b|redistribute\b"
+GATE = r"(?i)licen[cs]|spdx|creative ?commons|\bcc[- ]by|\bcc0\b|public domain|rights reserved|gnu |gnu\.org|apache|mozilla|opensource\.org|unlicense|wtfpl|opendatacommons|dedication|boost|eclipse|bsd|sil\.org/ofl|/docs/copyright|bsl11|joinup\.|\b(?:released|distributed|available|published|provided)\s+under\b|redistribute\b"
 #: Plain words in lower case of which every text that passes :data:`GATE` has one; far cheaper to look for.
 FIRST_GATE = (
-    "licen", "spdx", "creative", "cc by", "cc-by", "cc0", "public domain", "rights reserved", "gnu ", "apache", "mozilla", "opensource.org", "unlicense", "wtfpl", "opendatacommons", "dedication",
+    "licen", "spdx", "creative", "cc by", "cc-by", "cc0", "public domain", "rights reserved", "gnu ", "gnu.org", "apache", "mozilla", "opensource.org", "unlicense", "wtfpl", "opendatacommons", "dedication",
     "boost", "eclipse", "bsd", "sil.org/ofl", "/docs/copyright", "bsl11", "joinup.", "under", "redistribute",
 )
 #: What a detection of each priority is worth, in order.
@@ -124,6 +126,9 @@ def rules(licenses: dict[str, tuple[str, str, str, str]] | None = None) -> list[
             (keyword, label, 3, rf"(?i){grant}"),
             (keyword, label, 4, rf"(?i){bare}"),
         ]
+        if label in SECOND_KEYWORDS:
+            # a text with both keywords has each place twice; of equal detections one is suppressed
+            forms += [(SECOND_KEYWORDS[label], *f[1:]) for f in forms[-2:]]
     return sorted(forms, key=lambda r: r[2])
 
 

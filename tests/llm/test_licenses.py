@@ -86,3 +86,54 @@ def test_no_rule_is_shut_out_by_the_gate_or_its_keyword():
             hits = [r for r in rules() if r[1] == label and re.search(r[3], text)]
             assert hits, (label, text)
             assert re.search(GATE, text) and any(w in text.lower() for w in FIRST_GATE) and any(r[0] in text.lower() for r in hits), (label, text)
+
+
+def every(pattern):
+    """The texts of all alternatives, options and characters of classes of a pattern."""
+    from itertools import product
+    from re import _parser
+
+    def of(items):
+        texts = [""]
+        for op, arg in items:
+            op = str(op)
+            if op == "LITERAL":
+                new = [chr(arg)]
+            elif op == "IN":
+                new = [chr(c) for o, a in arg for c in ([a] if str(o) == "LITERAL" else range(a[0], a[1] + 1) if str(o) == "RANGE" else [ord("x")])]
+            elif op == "BRANCH":
+                new = [t for b in arg[1] for t in of(b)]
+            elif op == "SUBPATTERN":
+                new = of(arg[3])
+            elif op == "MAX_REPEAT":
+                new = ["", *of(arg[2])] if arg[0] == 0 else of(arg[2])
+            else:
+                assert op == "ASSERT_NOT", op
+                continue
+            texts = [a + b for a, b in product(texts, dict.fromkeys(new))]
+        return texts
+
+    return of(_parser.parse(pattern))
+
+
+def test_no_alternative_is_shut_out():
+    own, out = rules(), []
+    for label, (_, name, spdx, address) in LICENSES.items():
+        mine = [(r[0], re.compile(r[3]), r[3]) for r in own if r[1] == label]
+        texts = every(address) + ["SPDX-License-Identifier: " + t for t in every(spdx)]
+        for t in every(name):
+            texts += ["released under the " + t, "made available under " + t, t + " license", t + " licence"] + [t] * (label not in BARE_NEEDS_WORD)
+        for text in texts:
+            low, hits = text.lower(), [r for r in mine if r[1].search(text)]
+            tried = {x for k, _, x in hits if k in low}
+            if any(x not in tried for _, _, x in hits) or hits and not (re.search(GATE, text) and any(w in low for w in FIRST_GATE)):
+                out.append((label, text))
+    assert not out
+
+
+def test_texts_that_the_prefilter_shut_out(spark):
+    texts = ["see http://www.gnu.org/copyleft/fdl.html", "released under the PSF License", "the Python License, the PSF License"]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in d.select("i", detections(F.col("t")).alias("f")).collect():
+        found = [tuple(x) for x in r["f"]]
+        assert found == slow_detections(texts[r["i"]]) and {x[3] for x in found} == {("gfdl", "python-2", "python-2")[r["i"]]}
