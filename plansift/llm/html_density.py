@@ -9,7 +9,8 @@ density on the path from the page's body to it is the threshold that a
 neighbouring subtree must reach to be read with it.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are taken out of the tree first, by tag, role or class.
+reader comments are taken out of the tree first, by tag, role or class; by
+class not where a part holds the article or most of the page's text.
 
 Defined cases: null html is the empty page; a page without text gives the
 empty string; unclosed and crossing tags are repaired; pages without any tag
@@ -64,46 +65,100 @@ OUT_CLASS = re.compile(
     re.I,
 )
 HEADER_CLASS = re.compile(r"(?:^|\s)(?:header|top|logo)(?:$|\s)", re.I)
+#: Class words that tell a state or a subject, not what the part is.
+STATE = re.compile(r"(?:has|no|with|without)[_-]\S*|\S*[_-](?:open(?:ed)?|closed?|enabled|disabled|collapsed|expanded)|tags?[_-](?!cloud|list|links?|box|bar)\S+", re.I)
+#: Class words of parts that may well hold most of a page's text.
+NEVER_MAIN = re.compile(r"comment|disqus|repl(?:y|ies)|respon|cookie|consent|gdpr|notice|alert|newsletter|subscri|popup|modal|overlay", re.I)
 #: Tags that a class name never takes out.
 KEPT = {"html", "body", "article", "main"}
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "link_chars", "link_tags", "parent", "sum", "tag", "tags")
+    __slots__ = ("chars", "children", "density", "link_chars", "link_tags", "marked", "parent", "sum", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.children: list[Node | str] = []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.sum = 0.0
+        self.marked = 0
 
 
-def _unwanted(tag: str, attributes: str, stack: list[Node]) -> bool:
+#: What :func:`_unwanted` says of a tag: out by its class, or so and never a page's main part, or out in any case.
+BY_CLASS, PART, GONE = 1, 2, 3
+
+
+def _unwanted(tag: str, attributes: str, stack: list[Node]) -> int:
     if tag in OUT:
-        return True
+        return GONE
     if tag == "header" and not any(n.tag in ("article", "main") for n in stack):
-        return True
+        return GONE
+    marked = 0
     if not attributes:
-        return False
+        return marked
     for m in ATTRIBUTE.finditer(attributes):
         if m[5]:
-            return True
+            return GONE
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "role" and value.lower() in OUT_ROLES and tag not in ("html", "body"):
-            return True
+            return GONE
         if name == "aria-hidden" and value.lower() == "true":
-            return True
+            return GONE
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return GONE
         if name in ("class", "id"):
             value = re.sub(r"([a-z])([A-Z])", r"\1-\2", value)
+            value = " ".join(w for w in value.split() if not STATE.fullmatch(w))
             if HEADER_CLASS.search(value) and tag not in KEPT and not any(n.tag in ("article", "main") for n in stack):
-                return True
-        if name in ("class", "id") and OUT_CLASS.search(value) and (tag not in KEPT or tag == "article" and re.search(r"comment|reply|respon", value, re.I)):
-            return True
+                marked = max(marked, BY_CLASS)
+            if OUT_CLASS.search(value) and (tag not in KEPT or tag == "article" and re.search(r"comment|reply|respon", value, re.I)):
+                marked = max(marked, PART if NEVER_MAIN.search(value) else BY_CLASS)
         if name == "itemprop" and value.lower() == "comment":
-            return True
-    return False
+            return GONE
+    return marked
+
+
+def _prune(root: Node) -> None:
+    """Take out what is marked by class, but not what holds the page's article or main part or most of its text.
+
+    The amount of text counts only where no article or main part is beside.
+    Within an article, and for comments and notices beside one, an article
+    held is no reason to stay; nor, for those, is the amount of text.
+    """
+    nodes = _each(root)
+    if not any(n.marked for n in nodes):
+        return
+    within, gone = {id(root): False}, {}
+    for n in nodes:
+        for c in n.children:
+            if isinstance(c, Node):
+                within[id(c)] = within[id(n)] or n.tag == "article" and not n.marked
+    held = {id(n): 0 for n in nodes}
+    for n in reversed(nodes):
+        held[id(n)] += n.tag in ("article", "main") and not n.marked
+        if n.parent is not None:
+            held[id(n.parent)] += held[id(n)]
+    around = {id(root): 0}
+    for n in nodes:
+        for c in n.children:
+            if isinstance(c, Node):
+                around[id(c)] = around[id(n)] + (n.tag in ("article", "main") and not n.marked)
+    all_held = held[id(root)]
+    stays, alone = {}, {}
+    for n in nodes:
+        if n.marked:
+            alone[id(n)] = held[id(n)] + around[id(n)] == all_held  # no article or main beside it
+            stays[id(n)] = held[id(n)] > 0 and not within[id(n)] and n.tag != "article" and (n.marked == BY_CLASS or alone[id(n)])
+    # text that counts: not that of parts that are out in any case
+    chars = {id(n): 0 for n in nodes}
+    for n in reversed(nodes):
+        chars[id(n)] += sum(len(c.strip()) for c in n.children if not isinstance(c, Node))
+        if n.parent is not None and not (n.marked == PART and not stays[id(n)]):
+            chars[id(n.parent)] += chars[id(n)]
+    for n in nodes:
+        gone[id(n)] = n.parent is not None and gone[id(n.parent)] or bool(n.marked) and not (stays[id(n)] or n.marked == BY_CLASS and alone[id(n)] and not within[id(n)] and 2 * chars[id(n)] > chars[id(root)])
+    for n in nodes:
+        n.children = [c for c in n.children if not (isinstance(c, Node) and gone[id(c)])]
 
 
 def parse(page: str) -> Node:
@@ -171,14 +226,17 @@ def parse(page: str) -> Node:
             ends = RAW[tag].search(page, at)
             at = ends.end() if ends else end
             continue
-        if _unwanted(tag, attributes, stack):
+        marked = _unwanted(tag, attributes, stack)
+        if marked == GONE:
             if tag not in VOID and not alone:
                 skip.append(tag)
             continue
         node = Node(tag, stack[-1])
+        node.marked = marked
         stack[-1].children.append(node)
         if tag not in VOID and not (alone and tag in ("svg", "path")):
             stack.append(node)
+    _prune(root)
     return root
 
 

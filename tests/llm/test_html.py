@@ -56,3 +56,21 @@ def test_articles_of_the_pages(spark, small):
         own = re.search(r"<article>(.*?)(?:</article>|<footer|$)", r["html"], re.S)[1]
         plain = re.sub(r"</?(?:p|br|h1)\b[^>]*>", " ", own)
         assert texts[r["page_id"]] == " ".join(html.unescape(re.sub(r"<[^>]+>", "", plain)).split())
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "content comments-open", "nav-open", "post type-post tag-news", "page sidebar-left", "hasSidebar", "top", "search-page"])
+def test_class_of_a_wrapper_keeps_what_it_holds(name):
+    inside = f"<article><p>{P}</p></article>"
+    beside = f"<div class='sidebar'>{P}</div>"
+    for held in (inside, f"<main>{inside}</main>", f"<div><h1>T</h1><p>{P * 4}</p></div>"):
+        text = main_text(f"<body><div class='{name}'>{held}{beside}</div><footer>f</footer></body>")
+        assert text == (P.strip() if "<article>" in held else "T " + (P * 4).strip()), held
+    assert main_text(f"<main><div class='{name}'>{inside}</div></main>") == P.strip()
+
+
+def test_parts_go_by_class_still():
+    for part in (f"<div class='related'><article>{P}</article></div>", f"<div id='comments'><article>{P * 9}</article></div>", f"<div class='tag-cloud'>{P}</div>", f"<div class='alert'>{P * 9}</div>"):
+        assert main_text(f"<body><article><p>{P * 2}</p>{part}</article></body>") == (P * 2).strip(), part
+    for part in (f"<div id='comments'><article>{P * 9}</article></div>", f"<div class='cookie-notice'>{P * 9}</div>"):
+        assert main_text(f"<body><article><p>{P * 2}</p></article>{part}</body>") == (P * 2).strip(), part
+    assert main_text(f"<body><div class='cookie-notice'>{P}</div></body>") == ""
