@@ -27,10 +27,11 @@ rows; extra columns are never read.
 
 from __future__ import annotations
 
-import base64
+import re
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache
+from struct import pack as pack_bytes
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -48,29 +49,57 @@ RANKED_TOGETHER = 250_000
 # ---------------------------------------------------------------- tokens
 
 
+# The tokenizer's pieces of text, for characters that ``re`` classes as the tokenizer does; a test tries each of them.
+LETTER, NUMBER, MARK = r"[^\W\d_²³¹¼-¾]", r"[\d²³¹¼-¾]", r"(?:[^\s\w]|_)"
+PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?{LETTER}+| ?{NUMBER}+| ?{MARK}+|\s+(?!\S)|\s+")
+PLAIN = re.compile("[\x00-\x1b\x20-\u0527\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u3001-\u3006\u3041-\u3094\u4e00-\u9fa5\U0001f300-\U0001f64f]*")
+#: Pieces of text whose ids a task remembers in each of two generations, and the longest of them.
+REMEMBERED, LONGEST = 1 << 18, 48
+
+
+class Pieces(dict):
+    """Ids, as little-endian bytes, by piece of text; what is not there yet is asked of the tokenizer.
+
+    A full generation becomes the old one; what is used again moves on.
+    """
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.old = tokenizer, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            found = self.tokenizer.encode(piece, add_special_tokens=False).ids
+            ids = pack_bytes(f"<{len(found)}I", *found)
+        if len(piece) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 @lru_cache(maxsize=2)
-def encoder(vocabulary: str, special: str = "<|endoftext|>", special_id: int = 50256):
-    """``(encode, ...)`` for a vocabulary of the public tokenizers, by name.
+def encoder(vocabulary: str):
+    """``encode(text)`` by a tokenizer of the public ones, by name: the ids of ``encode(text, add_special_tokens=False)``.
 
-    The byte-level ranks of the same vocabulary give the same ids several times
-    faster; texts that contain the special token's string go to the tokenizer
-    itself, which has its own rule for them.
+    The tokenizer splits a text into pieces and merges bytes within a piece, so
+    the ids of a piece are asked for once and remembered. Texts that hold a
+    special token's string, or characters that the split may class otherwise
+    here, go to the tokenizer whole.
     """
     import public_tokenizers
-    import tiktoken
     from tokenizers import Tokenizer
 
-    with open(public_tokenizers.path(vocabulary.replace(".json", ".tiktoken")), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    slow: list = []
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    ids_of = Pieces(tokenizer).__getitem__
 
     def encode(text: str) -> np.ndarray:
-        if special in text:
-            if not slow:
-                slow.append(Tokenizer.from_file(public_tokenizers.path(vocabulary)))
-            return np.array(slow[0].encode(text, add_special_tokens=False).ids, dtype="<u4")
-        return np.asarray(fast.encode_to_numpy(text), dtype="<u4")
+        if any(t in text for t in special) or not PLAIN.fullmatch(text):
+            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.frombuffer(b"".join(map(ids_of, PIECE.findall(text))), dtype="<u4")
 
     return encode
 

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from plansift.llm.packing import _Classes, best_fit_classes, cut, dominating, encoder, pack, plan, reduce_classes
+from plansift.llm.packing import PIECE, PLAIN, _Classes, best_fit_classes, cut, dominating, encoder, pack, plan, reduce_classes
 from tests.llm.cases import LONG, clashing, documents, empty, random_documents
 
 
@@ -25,10 +25,35 @@ def test_ids_are_the_tokenizer_s(text):
 
 def test_ids_of_odd_texts():
     slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    for text in ("", " ", "a<|endoftext|>b", "<|endoftext|>", LONG, "\r\n\t  x", "'s 're it's", "١٢٣ ½ ² Ⅷ", "日本語テキスト", "a" * 5000, "é" * 999):
+    for text in ("", " ", "a<|endoftext|>b", "<|endoftext|>", LONG, "\r\n\t  x", "'s 're it's", "١٢٣ ½ ² Ⅷ", "日本語テキスト", "\u0558 \u088f", "\U00010940 x", "a" * 5000, "é" * 999):
         assert encoder("byte_bpe_50k.json")(text).tolist() == slow.encode(text, add_special_tokens=False).ids
 
 
+BLANKS = (" " * 1_200_000, "\n" * 1_200_000, "\t" * 1_200_000, " \t" * 600_000, "x" + " " * 1_200_000 + "y", "x" * 1_200_000)
+
+
+def test_long_runs():
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in BLANKS:
+        assert encoder("byte_bpe_50k.json")(text).tolist() == slow.encode(text, add_special_tokens=False).ids
+
+
+def test_long_runs_are_packed(spark):
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(BLANKS)], "doc_id bigint, text string")
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = sum(len(slow.encode(t, add_special_tokens=False).ids) + 1 for t in BLANKS)
+    assert sum(r["length"] for r in pack(d).collect()) == want
+
+
+def test_plain_characters_are_split_as_by_the_tokenizer():
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for point in range(0x110000):
+        c = chr(point)
+        if not 0xD800 <= point < 0xE000 and PLAIN.fullmatch(c):
+            text = f"a{c}{c} 1{c}! {c} b"
+            assert PIECE.findall(text) == [text[a:b] for _, (a, b) in slow.pre_tokenizer.pre_tokenize_str(text)], hex(point)
+
+
 @pytest.mark.parametrize("n", [1, 5, 8, 9, 15, 16, 17, 24])
 def test_cut(n):
     parts = cut(n, 8)
