@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plansift.llm.exact_dedup import exact_dedup
+from plansift.llm.exact_dedup import dedup_table
 from plansift.llm.html_density import extract
 from plansift.llm.license_scan import scan, summary
 from plansift.llm.minhash import as_text, edited_likeness
@@ -22,7 +22,7 @@ from plansift.session import table, texts
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies of every document; of equal texts the row with the largest id stays."""
-    return exact_dedup(texts(spark, sf_dir)).drop("known")
+    return dedup_table(texts(spark, sf_dir)).drop("known")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
