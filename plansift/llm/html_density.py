@@ -4,13 +4,17 @@ Of every node of the page's tree the characters, the characters within links,
 the tags and the link tags below it are counted. Its density is the characters
 per tag, scaled by a logarithm whose base grows with the share of link text,
 so that lists of links come out low. The densities of a node's children are
-summed and the node with the greatest sum is the body of the text; the least
-density on the path from the page's body to it is the threshold that a
-neighbouring subtree must reach to be read with it.
+summed and the node with the greatest sum is the body of the text, whatever its
+tag. The least density on the path from the page's body to it is the threshold
+that a neighbouring subtree must reach to be read with it. Where such a
+neighbour shows that the text goes on beside it, or within an article or main
+part, what is around is read whole as long as that has half the density at
+least (:func:`main_nodes`).
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments are taken out of the tree first, by tag, role or class; by
-class not where a part holds the article or most of the page's text.
+role and class only blocks, never tags within running text, and by class not
+where a part holds the article or most of the page's text.
 
 Defined cases: null html is the empty page; a page without text gives the
 empty string; unclosed and crossing tags are repaired; pages without any tag
@@ -23,6 +27,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +38,7 @@ from plansift.llm.rows import map_columns
 #: in two ways, so a tag that never ends costs one pass.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?>\"[^\"]{0,65536}\"|'[^']{0,65536}'|[^<>\"']++)*+)>"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?>\"[^\"]*+\"|'[^']*+'|[^<>\"']++)*+)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>|<",
     re.S,
 )
@@ -46,6 +51,8 @@ BLOCK = set(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Blocks that may be the body of a text; a paragraph or what stands in one is a part of it.
+CONTAINERS = {"#root", "html", "body", "article", "main", "div", "section", "blockquote", "center", "td", "pre", "details"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Tags whose start ends an open paragraph.
 ENDS_P = BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html", "head", "option", "legend", "summary"}
@@ -57,18 +64,23 @@ OUT = set(
 )
 IN_HEAD = set("head title meta link base script style noscript template".split())
 OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "note"}
-OUT_CLASS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertise(?:ment)?s?|advertising|adsense|adbox|sponsor(?:ed)?|promo(?:tion)?s?|banner|sidebar|side-?bar|aside|nav|navbar|navigation|navigator|menu|"
-    r"breadcrumbs?|crumbs?|footer|foot|site-?header|page-?header|masthead|topbar|cookies?|consent|gdpr|notices?|alerts?|disclaimer|newsletter|subscribe|subscription|signup|sign-up|login|"
-    r"share|sharing|social|related|recommend(?:ed|ations?)?|comments?|commentlist|disqus|replies|reply|respond|responses|pagination|pager|toolbar|popup|modal|overlay|widgets?|skip|skip-link|"
-    r"search|search-?form|copyright|tags?|tag-?cloud|byline-share|toc-nav)(?:$|[\s_-]|\d)",
-    re.I,
+# Words of class names and ids that tell what a part is.
+OUT_WORDS = set(
+    "ad ads advert adverts advertisement advertisements advertising adsense adbox adslot sponsor sponsors sponsored promo promos promotion promotions banner banners sidebar sidebars aside "
+    "nav navbar navigation navigator subnav menu menus submenu breadcrumb breadcrumbs crumbs footer footers foot masthead topbar cookie cookies consent gdpr notice notices alert alerts disclaimer "
+    "newsletter subscribe subscription signup login share sharing social related recommend recommended recommendation recommendations comment comments commentlist disqus reply replies respond responses "
+    "pagination pager toolbar popup popups modal modals overlay overlays widget widgets skip skiplink search searchform copyright tags tagcloud taglist taglinks siteheader pageheader globalheader".split()
 )
-HEADER_CLASS = re.compile(r"(?:^|\s)(?:header|top|logo)(?:$|\s)", re.I)
-#: Class words that tell a state or a subject, not what the part is.
-STATE = re.compile(r"(?:has|no|with|without)[_-]\S*|\S*[_-](?:open(?:ed)?|closed?|enabled|disabled|collapsed|expanded)|tags?[_-](?!cloud|list|links?|box|bar)\S+", re.I)
-#: Class words of parts that may well hold most of a page's text.
+#: Words that may stand beside one of those in one name.
+BESIDE_WORDS = set(
+    "box boxes block blocks list container wrapper wrap section area bar link links post posts article articles item items form top bottom left right main site page global primary secondary "
+    "inner outer content header group panel button buttons icon icons cloud thread text message byline toc entry entries blog user users reader readers mobile desktop module component region view "
+    "unit slot zone title heading count counter holder frame strip column col row sticky fixed floating inline story news stories print email mail site skip a the of for and by to in".split()
+)
+#: Those of parts that may well hold most of a page's text.
 NEVER_MAIN = re.compile(r"comment|disqus|repl(?:y|ies)|respon|cookie|consent|gdpr|notice|alert|newsletter|subscri|popup|modal|overlay", re.I)
+HEADER_NAMES = {"header", "top", "logo"}
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Tags that a class name never takes out.
 KEPT = {"html", "body", "article", "main"}
 
@@ -88,33 +100,40 @@ class Node:
 BY_CLASS, PART, GONE = 1, 2, 3
 
 
-def _unwanted(tag: str, attributes: str, stack: list[Node]) -> int:
-    if tag in OUT:
-        return GONE
-    if tag == "header" and not any(n.tag in ("article", "main") for n in stack):
+def _names_out(name: str) -> bool:
+    """Whether a class name or id tells a part that is not the article, as ``sidebar`` or ``post-comments`` and not ``has-sidebar`` or ``related-work``."""
+    words = [w for w in re.split(r"[\W_]+", HUMP.sub("-", name).lower()) if w and not w.isdigit()]
+    plain = [w.rstrip("0123456789") for w in words]
+    return "".join(plain) in OUT_WORDS or any(w in OUT_WORDS for w in plain) and all(w in OUT_WORDS or w in BESIDE_WORDS for w in plain)
+
+
+def _unwanted(tag: str, attributes: str, within: bool) -> int:
+    """What a start tag tells of its part; ``within`` if it is inside of an article or main part."""
+    if tag in OUT or tag == "header" and not within:
         return GONE
     marked = 0
     if not attributes:
         return marked
+    block = tag in BLOCK
     for m in ATTRIBUTE.finditer(attributes):
         if m[5]:
             return GONE
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "role" and value.lower() in OUT_ROLES and tag not in ("html", "body"):
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return GONE
-        if name == "aria-hidden" and value.lower() == "true":
+        if not block:
+            continue
+        if name == "role" and value.lower() in OUT_ROLES and tag not in ("html", "body"):
             return GONE
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+        if name == "aria-hidden" and value.lower() == "true" or name == "itemprop" and value.lower() == "comment":
             return GONE
         if name in ("class", "id"):
-            value = re.sub(r"([a-z])([A-Z])", r"\1-\2", value)
-            value = " ".join(w for w in value.split() if not STATE.fullmatch(w))
-            if HEADER_CLASS.search(value) and tag not in KEPT and not any(n.tag in ("article", "main") for n in stack):
+            own = value.split()
+            if tag not in KEPT and not within and any(w.lower() in HEADER_NAMES for w in own):
                 marked = max(marked, BY_CLASS)
-            if OUT_CLASS.search(value) and (tag not in KEPT or tag == "article" and re.search(r"comment|reply|respon", value, re.I)):
-                marked = max(marked, PART if NEVER_MAIN.search(value) else BY_CLASS)
-        if name == "itemprop" and value.lower() == "comment":
-            return GONE
+            own = [w for w in own if _names_out(w)]
+            if own and (tag not in KEPT or tag == "article" and re.search(r"comment|reply|respon", value, re.I)):
+                marked = max(marked, PART if any(map(NEVER_MAIN.search, own)) else BY_CLASS)
     return marked
 
 
@@ -161,17 +180,62 @@ def _prune(root: Node) -> None:
         n.children = [c for c in n.children if not (isinstance(c, Node) and gone[id(c)])]
 
 
+class _Open:
+    """The open nodes from the root on, and how many there are of each tag, so that no question costs a walk over all of them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.counts = [root], Counter()
+
+    @property
+    def last(self) -> Node:
+        return self.nodes[-1]
+
+    def push(self, node: Node) -> None:
+        self.nodes.append(node)
+        self.counts[node.tag] += 1
+
+    def pop(self) -> str:
+        tag = self.nodes.pop().tag
+        self.counts[tag] -= 1
+        return tag
+
+    def close(self, tag: str) -> None:
+        """Close the last open node of that tag and all within it."""
+        while self.pop() != tag:
+            pass
+
+    def within(self) -> bool:
+        return bool(self.counts["article"] or self.counts["main"])
+
+    def close_same(self, tags: tuple[str, ...], holders: set[str]) -> None:
+        """Close the last open node of those tags and all within it, unless one of the holders is open inside of it."""
+        if any(self.counts[t] for t in tags):
+            for k in range(len(self.nodes) - 1, 0, -1):
+                at = self.nodes[k].tag
+                if at in tags:
+                    while len(self.nodes) > k:
+                        self.pop()
+                    return
+                if at in holders:
+                    return
+
+
+#: Tags of which one ends another.
+LIKE = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
+
+
 def parse(page: str) -> Node:
     """The tree of a page without what is unwanted; text nodes are strings with references decoded."""
     root = Node("#root", None)
-    stack = [root]
+    open_ = _Open(root)
     skip: list[str] = []  # open tags below an unwanted one
+    skipped: Counter = Counter()
     at, end = 0, len(page)
     while at < end:
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else end]
         if text and not skip:
-            stack[-1].children.append(entities.unescape(text))
+            open_.last.children.append(entities.unescape(text))
         if not m:
             break
         at = m.end()
@@ -179,10 +243,11 @@ def parse(page: str) -> Node:
         alone = attributes.endswith("/")
         if not tag:
             if m[0] == "<" and not skip:
-                stack[-1].children.append("<")
+                open_.last.children.append("<")
             continue
         if skip and not closing and (skip[0] == "head" and tag not in IN_HEAD or skip[0] in ("nav", "header") and tag in ("article", "main")):
             skip.clear()  # a tag that was never closed ends where something begins that it cannot hold
+            skipped.clear()
         if skip:
             if tag in RAW and not closing:
                 ends = RAW[tag].search(page, at)
@@ -191,51 +256,43 @@ def parse(page: str) -> Node:
                 pass
             elif not closing:
                 skip.append(tag)
-            elif tag in skip:
-                while skip.pop() != tag:
-                    pass
-            elif tag in ("body", "html", "article", "main") and any(n.tag == tag for n in stack):
+                skipped[tag] += 1
+            elif skipped[tag]:
+                while (gone := skip.pop()) != tag:
+                    skipped[gone] -= 1
+                skipped[tag] -= 1
+            elif tag in ("body", "html", "article", "main") and open_.counts[tag]:
                 # an unwanted tag that was never closed ends with what holds it
                 skip.clear()
-                while stack.pop().tag != tag:
-                    pass
+                skipped.clear()
+                open_.close(tag)
             continue
         if closing:
-            if tag in ("br", "p") and not any(n.tag == tag for n in stack):
-                stack[-1].children.append(Node("br", stack[-1]))
-            elif any(n.tag == tag for n in stack):
-                while stack.pop().tag != tag:
-                    pass
+            if open_.counts[tag]:
+                open_.close(tag)
+            elif tag in ("br", "p"):
+                open_.last.children.append(Node("br", open_.last))
             continue
         # what a start tag ends by itself
         if tag in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCK:
-                    break
+            open_.close_same(("p",), BLOCK)
         if tag in ENDS_SAME:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag or (tag in ("dt", "dd") and stack[k].tag in ("dt", "dd")) or (tag in ("td", "th") and stack[k].tag in ("td", "th")):
-                    del stack[k:]
-                    break
-                if stack[k].tag in ENDS_SAME[tag]:
-                    break
+            open_.close_same(LIKE.get(tag, (tag,)), ENDS_SAME[tag])
         if tag in RAW:
             ends = RAW[tag].search(page, at)
             at = ends.end() if ends else end
             continue
-        marked = _unwanted(tag, attributes, stack)
+        marked = _unwanted(tag, attributes, open_.within())
         if marked == GONE:
             if tag not in VOID and not alone:
                 skip.append(tag)
+                skipped[tag] += 1
             continue
-        node = Node(tag, stack[-1])
+        node = Node(tag, open_.last)
         node.marked = marked
-        stack[-1].children.append(node)
+        open_.last.children.append(node)
         if tag not in VOID and not (alone and tag in ("svg", "path")):
-            stack.append(node)
+            open_.push(node)
     _prune(root)
     return root
 
@@ -282,39 +339,56 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
+#: What is around the densest subtree is read whole if it has this share of its density at least.
+UNDILUTED = 0.5
+
+
 def main_nodes(root: Node) -> list[Node]:
-    """The subtrees to read, in page order."""
+    """The subtrees to read, in page order.
+
+    From the node with the greatest sum of densities, and from a paragraph or
+    a tag within one to the block around it, the text grows outwards while what
+    is around is not diluted: within an article or main part, or where another
+    block beside it reaches the threshold. Around the last such part, blocks
+    that reach the threshold are read too, and headings before it.
+    """
     nodes = measure(root)
     body = next((n for n in nodes if n.tag == "body"), root)
-    own = _each(body)
-    own = [n for n in own if n.chars]
+    own = [n for n in _each(body) if n.chars]
     if not own:
         return []
     best = max(own, key=lambda n: n.sum)
     path = [best]
-    while path[-1] is not body and path[-1].parent is not None:
+    while path[-1] is not body:
         path.append(path[-1].parent)
     threshold = min(n.density for n in path)
-    # an article or main part around the densest subtree is its whole text
-    whole = next((n for n in path if n.tag == "article"), None) or next((n for n in path if n.tag == "main"), None)
-    if whole is not None:
-        return [whole]
-    # without such a part, blocks that are links for the most part are menus
-    for n in own:
-        n.children = [c for c in n.children if not (isinstance(c, Node) and c.tag in BLOCK and c.link_tags >= 3 and 2 * c.link_chars > c.chars)]
-    if best is body or best is root:
-        return [best]
-    parent = best.parent
-    out = []
-    seen = False
-    for c in parent.children if parent is not None else [best]:
-        if not isinstance(c, Node):
-            continue
-        seen = seen or c is best
-        near = c.chars and c.density >= threshold and c.link_chars * 2 < c.chars
-        if c is best or (c.tag in HEADINGS and not seen) or (near and c.tag in BLOCK):
-            out.append(c)
-    return out
+    inside = max((k for k, n in enumerate(path) if n.tag in ("article", "main")), default=0)
+
+    def dense(n: Node) -> list[Node]:
+        """The blocks within ``n``, beside the path, that reach the threshold."""
+        return [c for c in n.children if isinstance(c, Node) and c.tag in BLOCK and c.chars and c.density >= threshold and 2 * c.link_chars <= c.chars and c not in on_path]
+
+    on_path = set(path)
+    at = next((k for k, n in enumerate(path) if n.tag in CONTAINERS), len(path) - 1)
+    while at + 1 < len(path) and path[at].tag not in ("article", "main") and path[at + 1].density >= UNDILUTED * path[at].density and (at < inside or dense(path[at + 1])):
+        at += 1
+    # blocks that are links for the most part are menus, but within an article or main part
+    if at > inside or path[at].tag not in ("article", "main") and inside == 0:
+        for n in _each(path[at]):
+            n.children = [c for c in n.children if not (isinstance(c, Node) and c.tag in BLOCK and c.link_tags >= 3 and 2 * c.link_chars > c.chars)]
+    found = [path[at]]
+    for k in range(at + 1, len(path)):
+        if path[k - 1].tag in ("article", "main"):
+            break  # what is beside an article is not of it
+        before, after, seen = [], [], False
+        near = set(dense(path[k]))
+        for c in path[k].children:
+            if c is path[k - 1]:
+                seen = True
+            elif isinstance(c, Node) and (c in near or c.tag in HEADINGS and c.chars and not seen):
+                (after if seen else before).append(c)
+        found = before + found + after
+    return found
 
 
 def blocks(node: Node) -> list[str]:
