@@ -54,7 +54,7 @@ LETTER, NUMBER, MARK = r"[^\W\d_²³¹¼-¾]", r"[\d²³¹¼-¾]", r"(?:[^\s\w]|
 PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?{LETTER}+| ?{NUMBER}+| ?{MARK}+|\s+(?!\S)|\s+")
 PLAIN = re.compile("[\x00-\x1b\x20-\u0527\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u3001-\u3006\u3041-\u3094\u4e00-\u9fa5\U0001f300-\U0001f64f]*")
 #: Pieces of text whose ids a task remembers in each of two generations, and the longest of them.
-REMEMBERED, LONGEST = 1 << 18, 48
+REMEMBERED, LONGEST = 1 << 20, 48
 
 
 class Pieces(dict):
