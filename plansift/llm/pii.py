@@ -6,10 +6,15 @@ a conditional random field, is trained in numpy from labelled spans that
 :mod:`plansift.llm.pii_samples` writes; it finds what is written otherwise, as
 in ``name (at) host (dot) org``. Its emissions are computed for overlapping
 windows; where windows overlap they are averaged, weighted to the windows'
-middles, and one best path is decoded for the whole stretch.
+middles, one best path is decoded for the whole stretch, and of its spans those
+stay whose tags outscore none by enough.
 
-Every tag's span holds a digit, an ``@`` or the word ``dot``, so only the
-surroundings of these are read by the model; this leaves nothing out.
+The model reads the surroundings of every digit, ``@`` and word ``at`` or
+``dot``, of which each of the forms it is trained on holds one: so many
+characters on either side and on to the ends of the words there, however long.
+A span that it tags is widened to whole words and kept if its values can be
+what its kind is: numbers up to 255, a right checksum, a name and a host
+(:func:`valid`); the form is the model's decision.
 
 Defined cases: null counts as the empty text; an empty text has no spans and
 the digest of the empty string; rows that repeat an id give a row each; an
@@ -22,6 +27,8 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import lru_cache
+from itertools import accumulate
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -35,8 +42,13 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-COMMON_END = re.compile(r"\sdot\s+(?:com|org|net|edu|gov|info|biz|io|de|fr|es|uk|eu|ch|at|nl|it)$", re.I)
+#: How ``@`` and a full stop are written out.
+AT = re.compile(r"@|\W(?:at)\W", re.I)
+STOP = re.compile(r"(?<=\w)\.(?=\w)|\W(?:dot)\W|\s\.\s", re.I)
 DIGIT = re.compile(r"[0-9]")
+SPACE = re.compile(r"\s")
+NUMBER = re.compile(r"[0-9]+")
+DIGITS = frozenset("0123456789")
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -91,9 +103,11 @@ def written(spans: list[Span]) -> str:
 WINDOW, STRIDE = 64, 32
 #: Characters that are read on either side of a sign of personal data.
 MARGIN = 40
-SIGN = re.compile(r"[0-9@]|[\[({<](?:at|dot)[\])}>]|\bdot\b", re.I)
+SIGN = re.compile(r"[0-9@]|\b(?:at|dot)\b", re.I)
 EMBED, HIDDEN = 12, 16
 TAGS = 1 + 2 * len(KINDS)  # outside; first and further characters of each kind
+#: By how much the tags of a span must outscore none, a character on average.
+SURE = 0.4
 #: Windows that go through the model at once.
 AT_ONCE = 1024
 
@@ -233,8 +247,23 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
+#: The arrays of a tagger that :func:`trained` fitted, written by ``python -m plansift.llm.pii``.
+FITTED = Path(__file__).with_name("pii_tagger.npz")
+
+
+@lru_cache(maxsize=1)
+def tagger() -> Tagger:
+    """The fitted tagger; it is trained anew where its arrays are not there."""
+    if not FITTED.exists():
+        return trained()
+    model = Tagger()
+    with np.load(FITTED) as held:
+        model.p = {k: held[k] for k in model.p}
+    return model
+
+
 @lru_cache(maxsize=2)
-def trained(steps: int = 400, batch: int = 48, seed: int = 7) -> Tagger:
+def trained(steps: int = 2500, batch: int = 64, seed: int = 7) -> Tagger:
     """A tagger trained on written samples with Adam; the same seed gives the same tagger."""
     from plansift.llm.pii_samples import sample
 
@@ -255,11 +284,18 @@ def trained(steps: int = 400, batch: int = 48, seed: int = 7) -> Tagger:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """The parts of a text around signs of personal data, merged where they meet."""
+    """The parts of a text around signs of personal data, from word end to word end, merged where they meet."""
     out: list[list[int]] = []
     for m in SIGN.finditer(text):
+        if out and m.end() + MARGIN <= out[-1][1]:
+            continue
         a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if out and a <= out[-1][1]:
+        free = out[-1][1] if out else 0
+        while a > free and not text[a - 1].isspace():
+            a -= 1
+        end = SPACE.search(text, b)
+        b = end.start() if end else len(text)
+        if out and a <= free:
             out[-1][1] = b
         else:
             out.append([a, b])
@@ -298,8 +334,9 @@ def tagged_spans(model: Tagger, texts: list[str]) -> list[list[Span]]:
             for (g, start, n), own in zip(places[k : k + AT_ONCE], e, strict=True):
                 scores[g, start : start + n] += own[:n] * WEIGHT[:n, None]
                 weight[g, start : start + n] += WEIGHT[:n, None]
-        paths = model.best_paths(scores / np.maximum(weight, 1e-6), np.array([b - a for _, a, b in group]))
-        for (row, a, _), path in zip(group, paths, strict=True):
+        scores /= np.maximum(weight, 1e-6)
+        paths = model.best_paths(scores, np.array([b - a for _, a, b in group]))
+        for (row, a, _), path, own in zip(group, paths, scores, strict=True):
             k = 0
             while k < len(path):
                 tag = path[k]
@@ -308,49 +345,65 @@ def tagged_spans(model: Tagger, texts: list[str]) -> list[list[Span]]:
                     kind = (tag - 1) // 2
                     while end < len(path) and path[end] == 2 * kind + 2:
                         end += 1
-                    found[row].append((kind, a + k, a + end))
+                    # how far the tags' scores are above those of no tag
+                    sure = own[np.arange(k, end), path[k:end]] - own[k:end, 0]
+                    if sure.mean() >= SURE:
+                        found[row].append((kind, a + k, a + end))
                 k = end
     return found
 
 
-def plausible(text: str, span: Span) -> tuple[int, int, int] | None:
-    """A span of the model without loose ends, if it holds what its kind needs."""
+def whole(text: str, span: Span) -> Span:
+    """A span widened to the ends of the words it cuts, without loose ends."""
     kind, a, b = span
+    inner = LOCAL if kind == 0 else DIGITS
     while a < b and not text[a].isalnum() and text[a] not in "+(":
         a += 1
     while b > a and not text[b - 1].isalnum():
         b -= 1
+    while a < b and a and text[a - 1] in inner:
+        a -= 1
+    while a < b < len(text) and text[b].isalnum():
+        b += 1
+    while a < b and kind == 0 and text[a] in ".%+-":
+        a += 1
+    return kind, a, b
+
+
+def valid(text: str, span: Span) -> bool:
+    """Whether the values within a span can be what its kind is; nothing is asked of the form beyond that."""
+    kind, a, b = span
     own = text[a:b]
-    if (a and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum()) or not own:
-        return None
-    groups = re.findall(r"[0-9]+", own)
-    digits = "".join(groups)
     if kind == 0:
-        good = re.fullmatch(r"[\w.%+-]+\s*(?:@|[\[({<]\s*(?:at|@)\s*[\])}>]|\sat\s)\s*[\w-]+(?:\s*(?:\.|[\[({<]\s*(?:dot|\.)\s*[\])}>]|\sdot\s)\s*[\w-]+)+", own, re.I)
-        # spelt with bare words, only a common ending tells an address from a sentence
-        good = good and (re.search(r"[@\[({<]", own) or COMMON_END.search(own))
-    elif kind == 1:
-        good = re.fullmatch(r"[0-9]{1,3}(?:\s*(?:\.|[\[({<]\s*(?:dot|\.)\s*[\])}>]|\sdot\s)\s*[0-9]{1,3}){3}", own, re.I) and all(int(g) <= 255 for g in groups)
-    elif kind == 2:
-        good = 13 <= len(digits) <= 19 and luhn(digits) and re.fullmatch(r"[0-9](?:[^0-9A-Za-z]{0,2}[0-9])+", own)
-    else:
-        good = 9 <= len(digits) <= 15 and len(groups) >= 3 and re.fullmatch(r"(?:\+|00|\()?[0-9](?:[ ()./ -]{0,3}[0-9])+", own)
-    return (kind, a, b) if good else None
+        at = AT.search(own)
+        return bool(at and own[: at.start()].strip() and STOP.search(own, at.end()) and own[b - a - 1].isalnum())
+    groups = NUMBER.findall(own)
+    digits = "".join(groups)
+    if kind == 1:
+        return len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)
+    if any(c.isalpha() for c in own):
+        return False
+    return 13 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 9 <= len(digits) <= 15
 
 
 def with_added(text: str, base: list[Span], tagged: list[Span]) -> list[Span]:
-    """Base spans and the model's that overlap none of them nor each other."""
-    out = list(base)
-    for s in tagged:
-        s = plausible(text, s)
-        if s and all(s[2] <= a or b <= s[1] for _, a, b in out):
-            out.append(s)
-    return sorted(out)
+    """Base spans and the model's that overlap none of them nor each other; of the model's the earlier stays."""
+    taken = sorted((a, b) for _, a, b in base)
+    added: list[Span] = []
+    at, free = 0, 0  # base spans before ``at`` end before whatever comes; nothing of the model's reaches beyond ``free``
+    reach = list(accumulate((b for _, b in taken), max))
+    for s in sorted((whole(text, s) for s in tagged), key=lambda s: s[1:]):
+        while at < len(taken) and taken[at][0] < s[2]:
+            at += 1
+        if s[1] >= free and (at == 0 or reach[at - 1] <= s[1]) and valid(text, s):
+            added.append(s)
+            free = s[2]
+    return sorted(base + added)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, base, spans``: all fixed-pattern spans and all spans, written as ``kind:start:end``."""
-    model = trained()
+    model = tagger()
 
     def make():
         def work(ids: list, texts: list) -> tuple:
@@ -369,7 +422,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text`` with each span replaced by its kind in angle brackets."""
-    model = trained()
+    model = tagger()
 
     def make():
         def work(ids: list, texts: list) -> tuple:
@@ -386,3 +439,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         return work
 
     return map_columns(identified(docs, id_col, text_col), make, "doc_id long, text string")
+
+
+if __name__ == "__main__":
+    np.savez_compressed(FITTED, **trained().p)

@@ -9,14 +9,30 @@ from __future__ import annotations
 
 import numpy as np
 
-from plansift.llm.pii import codes
+from plansift.llm.pii import SIGN, codes
 
 _VOWELS, _OTHERS = "aeiouäöüéèíóú", "bcdfghjklmnprstvwz"
-
-
-def _word(r: np.random.Generator, least: int = 1, most: int = 4) -> str:
-    w = "".join(_OTHERS[r.integers(len(_OTHERS))] + _VOWELS[r.integers(5 if r.random() < 0.8 else len(_VOWELS))] for _ in range(r.integers(least, most)))
-    return w.capitalize() if r.random() < 0.15 else w
+#: Common words, among them those that spell an address.
+_COMMON = (
+    "the of and to in is that at at at for it on was with as be dot point dot write please now here meet look arrive at home noon once least from this are by an not we you they have his her "
+    "der die und das ist von mit auf nicht ein eine sich des dem im zu den für le la les de des et un une que est pour dans sur pas el los las y en que por con una no se del "
+    "version license under number call mail email phone card host server address contact reply"
+).split()
+
+
+def _word(r: np.random.Generator) -> str:
+    x = r.random()
+    if x < 0.3:
+        w = _COMMON[r.integers(len(_COMMON))]
+    elif x < 0.55:
+        w = "".join(_OTHERS[r.integers(len(_OTHERS))] + _VOWELS[r.integers(5 if r.random() < 0.8 else len(_VOWELS))] for _ in range(r.integers(1, 5)))
+    else:
+        w = _plain(r, 2, 14)
+    if r.random() < 0.15:  # signs within words are none
+        k = int(r.integers(0, len(w) + 1))
+        w = w[:k] + _pick(r, "at", "at", "dot") + (w[k:] or _plain(r, 1, 4))
+    x = r.random()
+    return w.capitalize() if x < 0.12 else w.upper() if x < 0.16 else w
 
 
 def _digits(r: np.random.Generator, n: int) -> str:
@@ -32,10 +48,14 @@ def _plain(r: np.random.Generator, least: int, most: int) -> str:
 
 
 def _email(r: np.random.Generator) -> str:
-    name = _plain(r, 3, 9) + (_pick(r, ".", "_", "-") + (_plain(r, 2, 7) if r.random() < 0.5 else _digits(r, 2)) if r.random() < 0.6 else "")
-    at = _pick(r, "@", "@", "@", " at ", " (at) ", "[at]", " [at] ", "(at)", " @ ", "{at}")
-    dot = "." if "@" in at and r.random() < 0.8 else _pick(r, " dot ", "[dot]", " (dot) ", "(dot)", " [dot] ", ".")
-    return name + at + dot.join([_plain(r, 3, 8) + (_digits(r, 1) if r.random() < 0.3 else ""), *([_plain(r, 4, 8)] if r.random() < 0.5 else []), _pick(r, "com", "org", "net", "de", "fr", "es")])
+    # names are words like any other: only what stands beside them tells an address
+    name = "".join(c for c in _word(r) if c.isascii()) + _plain(r, 1, 4) if r.random() < 0.85 else _plain(r, 20, 70)
+    if r.random() < 0.7:
+        name += _pick(r, ".", "_", "-", ".") + (_plain(r, 2, 7) if r.random() < 0.5 else _digits(r, 2))
+    at = _pick(r, "@", "@", "@", "@", " at ", " at ", " (at) ", "[at]", " [at] ", "(at)", " @ ", "{at}", " [ at ] ")
+    dot = "." if r.random() < (0.85 if "@" in at else 0.4) else _pick(r, " dot ", "[dot]", " (dot) ", "(dot)", " [dot] ", " [ dot ] ")
+    end = _pick(r, "com", "com", "org", "net", "de", "fr", "es", "edu", "io", "info")
+    return name + at + dot.join([_plain(r, 3, 9) + (_digits(r, 1) if r.random() < 0.3 else ""), *([_plain(r, 4, 8)] if r.random() < 0.5 else []), end])
 
 
 def _ip(r: np.random.Generator) -> str:
@@ -57,10 +77,12 @@ def _phone(r: np.random.Generator) -> str:
 
 def _other(r: np.random.Generator) -> str:
     return _pick(
-        r, f"{r.integers(1990, 2030)}-{r.integers(1, 13):02d}-{r.integers(1, 29):02d}", f"{r.integers(1, 29)}.{r.integers(1, 13)}.{r.integers(1990, 2030)}",
-        f"v{r.integers(0, 20)}.{r.integers(0, 20)}.{r.integers(0, 20)}", f"{r.integers(0, 2000)}.{r.integers(10, 99)}", _digits(r, r.integers(1, 9)), "AKIA" + _plain(r, 8, 15).upper() + _digits(r, 2),
-        "token = \"" + "".join("0123456789abcdef"[k] for k in r.integers(0, 16, 32)) + "\"", "password=" + "".join("0123456789abcdef"[k] for k in r.integers(0, 16, 16)), f"{r.integers(0, 100)}%", f"License, Version {r.integers(1, 4)}.0.",
-        "CC BY-NC 4.0.", f"at {_word(r)} dot {_word(r)}", f"http://{_plain(r, 4, 9)}.com/{_digits(r, 3)}",
+        r, f"{r.integers(1990, 2030)}-{r.integers(1, 13):02d}-{r.integers(1, 29):02d}", f"{r.integers(1, 29)}.{r.integers(1, 13)}.{r.integers(1990, 2030)}", f"{r.integers(0, 24)}:{r.integers(0, 60):02d}",
+        f"v{r.integers(0, 20)}.{r.integers(0, 20)}.{r.integers(0, 20)}", f"{r.integers(0, 2000)}.{r.integers(10, 99)}", _digits(r, r.integers(1, 8)), "AKIA" + _plain(r, 8, 15).upper() + _digits(r, 2),
+        "token = \"" + "".join("0123456789abcdef"[k] for k in r.integers(0, 16, 32)) + "\"", "password=" + "".join("0123456789abcdef"[k] for k in r.integers(0, 16, 16)), f"{r.integers(0, 100)}%",
+        f"Licensed under the Apache License, Version {r.integers(1, 4)}.0.", f"License, version {r.integers(1, 4)}. ", "CC BY-NC 4.0.", "version 2 of the License", f"section {r.integers(1, 9)}.{r.integers(1, 30)}",
+        f"{_word(r)} at {_word(r)} dot {_word(r)}", f"{_word(r)} at {_word(r)} dot {_word(r)}", f"{_word(r)} at {_word(r)}. {_word(r)}", f"{_word(r)} at {_word(r)}", f"at {_word(r)}. {_word(r).capitalize()}", f"looked at {_word(r)}, {_word(r)}. {_word(r)}", f"http://{_plain(r, 4, 9)}.com/{_digits(r, 3)}", f"www.{_plain(r, 4, 9)}.org", f"at {r.integers(1, 12)} pm",
+        f"at www.{_plain(r, 4, 9)}.com", f"@{_plain(r, 4, 9)} {_word(r)}", f"a dot on the {_word(r)}",
     )
 
 
@@ -68,19 +90,35 @@ _MAKERS = (_email, _ip, _card, _phone)
 
 
 def sample(rng: np.random.Generator, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and tags of one window cut from a longer line at a random place."""
+    """Codes and tags of one window cut from a longer line at a random place; half of the lines hold no personal data."""
     text, tags = "", []
+    some = 0.3 * float(rng.random() < 0.6)
     while len(text) < 2 * width:
         x = rng.random()
-        kind = int(rng.integers(len(_MAKERS))) if x < 0.25 else -1
-        part = _MAKERS[kind](rng) if kind >= 0 else _other(rng) if x < 0.37 else _word(rng)
+        kind = int(rng.choice(len(_MAKERS), p=(0.55, 0.15, 0.15, 0.15))) if x < some else -1
+        part = _MAKERS[kind](rng) if kind >= 0 else _other(rng) if x < some + 0.12 else _word(rng)
         text += part
         tags += [2 * kind + 1] + [2 * kind + 2] * (len(part) - 1) if kind >= 0 else [0] * len(part)
-        gap = _pick(rng, " ", " ", " ", ", ", ". ", "\n", ": ")
+        gap = _pick(rng, " ", " ", " ", " ", " ", " ", " ", ", ", ". ", "\n", ": ", "!! ", "### ", ".\n", "%%% ", "&&& ", "*** ", "$$$ ")
         text += gap
         tags += [0] * len(gap)
     at = int(rng.integers(0, len(text) - width + 1))
-    own = np.array(tags[at : at + width])
-    if own[0] and own[0] % 2 == 0:  # a window may begin within a span
-        own = own.copy()
-    return codes(text[at : at + width]), own
+    own, told = text[at : at + width], np.array(tags[at : at + width])
+    if rng.random() < 0.5:
+        # as the last window of a stretch, which ends with a word
+        own = own[: max(own.rfind(" "), 1)]
+        chars = np.zeros(width, dtype=np.int64)
+        chars[: len(own)] = codes(own)
+        told[len(own) :] = 0
+    else:
+        chars = codes(own)
+    # a span that the window cuts before its sign can't be told from other words
+    for edge in (slice(None), slice(None, None, -1)):
+        end = told[edge][: len(own)] if edge.step is None else told[: len(own)][edge]
+        n = 0
+        while n < len(end) and end[n]:
+            n += 1
+        part = own[:n] if edge.step is None else own[len(own) - n :]
+        if n and not any(c.isdigit() for c in part) and not SIGN.search(part):
+            told[: len(own)][edge][:n] = 0
+    return chars, told
