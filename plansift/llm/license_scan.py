@@ -1,10 +1,14 @@
 """License detection with ordered signature rules, in DataFrame functions only.
 
-Each license has a hand-written name and, from it, rules of four forms in order
-of priority: an SPDX tag, the address of its text, a grant that names it, and
-the bare name. A rule is tried on a text only if the text has its keyword, and
-keywords are looked for only in texts that pass one cheap test. Detections that
-lie within a detection of the same or a higher priority are suppressed.
+Two kinds of rules, in one order of priority. Signatures are sentences of
+licenses' own texts, of the notices they ask for and of file headers, each
+written by hand (:data:`SIGNATURES`). Names are rules of four forms for each
+license: an SPDX tag, the address of its text, a grant that names it, and the
+bare name (:data:`LICENSES`). The rules of a keyword are tried on a text only
+if the text has the keyword and a pattern of all of them together, which is a
+literal and so compiled once, has a match; names only in texts that pass one
+cheap test besides. Detections that lie within a detection of the same or a
+higher priority are suppressed.
 
 Apart from the rules, fixed phrases are found by their words alone; those
 places always count (:data:`PHRASES`).
@@ -26,7 +30,6 @@ from pyspark.sql import functions as F
 from plansift.functions.text import let
 
 # Word classes in Java's regular expressions, either case.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # Phrases by words, and their labels.
 PHRASES = {
@@ -99,6 +102,90 @@ LICENSES: dict[str, tuple[str, str, str, str]] = {
     "proprietary": ("rights reserved", r"all rights reserved", r"LicenseRef-Proprietary", r"example\.invalid/proprietary-license"),
 }
 
+#: What parts words in a license text: blanks, and what comments and quotes put at the start of a line.
+BETWEEN = r"[\s*#/;>|\"'`]+"
+REDISTRIBUTION = "redistribution and use in source and binary forms, with or without modification, are permitted"
+GRANT = "permission is hereby granted, free of charge, to any person"
+OFFICIAL = "as published by the free software foundation"
+#: label, keyword (one word in lower case), sentence: a blank stands for :data:`BETWEEN`, the rest is a pattern in either case.
+SIGNATURES: list[tuple[str, str, str]] = [
+    ("mit", "hereby", GRANT + r" obtaining a copy of this software and associated documentation files \(?the \W?software\W{0,2}\)?,? to deal in the software without restriction"),
+    ("mit", "substantial", r"the above copyright notice and this permission notice( \(including the next paragraph\))? shall be included in all copies or substantial portions of the software"),
+    ("ncsa", "hereby", GRANT + r" obtaining a copy of this software and associated documentation files \(?the \W?software\W{0,2}\)?,? to deal with the software without restriction"),
+    ("boost-1", "hereby", GRANT + r" or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("isc", "hereby", r"permission to use, copy, modify,?( and|/or|and/or)* distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice"),
+    ("bsd-0", "hereby", r"permission to use, copy, modify,?( and|/or|and/or)* distribute this software for any purpose with or without fee is hereby granted\."),
+    ("postgresql", "hereby", r"permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted"),
+    ("ofl-1.1", "hereby", GRANT + r" obtaining a copy of the font software, to use, study, copy, merge, embed, modify, redistribute"),
+    ("upl-1", "hereby", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software, associated documentation and/or data \(collectively"),
+    ("bsd-2", "redistribution", REDISTRIBUTION + r"( \(subject to the limitations in the disclaimer below\))? provided that the following conditions are met"),
+    ("bsd-3", "redistribution", REDISTRIBUTION + r"[\s\S]{0,1600}?neither the names? of"),
+    ("bsd-4", "redistribution", REDISTRIBUTION + r"[\s\S]{0,1200}?all advertising materials mentioning features[\s\S]{0,600}?neither the names? of .{2}"),
+    ("apache-1", "redistribution", REDISTRIBUTION + r"[\s\S]{0,1200}?this product includes software developed by the apache (software foundation|group)"),
+    ("openssl", "openssl", r"this product includes (cryptographic )?software (developed|written) by the openssl project"),
+    ("php-3", "php", r"this product includes php software, freely available from"),
+    ("apache-2", "apache", r"licensed under the apache license, version 2(\.0)? \(?the \W?license\W{0,2}\)?; you may not use this file except in compliance with the license"),
+    ("apache-2", "2004", r"apache license version 2\.0, january 2004"),
+    ("apache-2", "apache", r"licensed to the apache software foundation \(asf\) under one or more contributor license agreements"),
+    ("gpl-1", "foundation", r"under the terms of the gnu general public license " + OFFICIAL + r"[;,] either version 1"),
+    ("gpl-2", "foundation", r"under the terms of the gnu general public license " + OFFICIAL + r"[;,] (either )?version 2"),
+    ("gpl-3", "foundation", r"under the terms of the gnu general public license " + OFFICIAL + r"[;,] (either )?version 3"),
+    ("gpl-2", "gnu", r"under the terms of (the )?version 2 of the gnu general public license"),
+    ("gpl-3", "gnu", r"under the terms of (the )?version 3 of the gnu general public license"),
+    ("lgpl-2", "foundation", r"under the terms of the gnu library general public license " + OFFICIAL + r"[;,] (either )?version 2"),
+    ("lgpl-2.1", "foundation", r"under the terms of the gnu lesser general public license " + OFFICIAL + r"[;,] (either )?version 2\.1"),
+    ("lgpl-3", "foundation", r"under the terms of the gnu lesser general public license " + OFFICIAL + r"[;,] (either )?version 3"),
+    ("agpl-3", "foundation", r"under the terms of the gnu affero general public license " + OFFICIAL + r"[;,] (either )?version 3"),
+    ("gpl-1", "1989", r"gnu general public license version 1, february 1989"),
+    ("gpl-2", "1991", r"gnu general public license version 2, june 1991"),
+    ("gpl-3", "2007", r"gnu general public license version 3, 29 june 2007"),
+    ("lgpl-2", "1991", r"gnu library general public license version 2, june 1991"),
+    ("lgpl-2.1", "1999", r"gnu lesser general public license version 2\.1, february 1999"),
+    ("lgpl-3", "2007", r"gnu lesser general public license version 3, 29 june 2007"),
+    ("agpl-3", "2007", r"gnu affero general public license version 3, 19 november 2007"),
+    ("gpl-2", "gpl", r"\bgpl(-| )?v( )?2(\.0)?\b"),
+    ("gpl-3", "gpl", r"\bgpl(-| )?v( )?3(\.0)?\b"),
+    ("lgpl-2.1", "lgpl", r"\blgpl(-| )?v( )?2\.1\b"),
+    ("lgpl-3", "lgpl", r"\blgpl(-| )?v( )?3(\.0)?\b"),
+    ("agpl-3", "agpl", r"\bagpl(-| )?v( )?3(\.0)?\b"),
+    ("gfdl", "documentation", r"permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation license"),
+    ("mpl-2", "mozilla", r"this source code form is subject to the terms of the mozilla public license, v\. 2\.0"),
+    ("mpl-1.1", "mozilla", r"the contents of this file are subject to the mozilla public license version 1\.[01]"),
+    ("epl-1", "accompanying", r"this program and the accompanying materials are made available under the terms of the eclipse public license v1\.0"),
+    ("epl-2", "accompanying", r"this program and the accompanying materials are made available under the terms of the eclipse public license (v\. )?2\.0"),
+    ("cpl-1", "accompanying", r"this program and the accompanying materials are made available under the terms of the common public license v1\.0"),
+    ("cddl-1", "development", r"the contents of this file are subject to the terms of( either)? the common development and distribution license"),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented; you must not claim that you wrote the original software"),
+    ("zlib", "liable", r"this software is provided as-is, without any express or implied warranty\. in no event will the authors? be held liable"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "want", r"do what the f.ck you want to public license"),
+    ("beerware", "stuff", r"as long as you retain this notice you can do whatever you want with this stuff"),
+    ("curl", "daniel", r"copyright and permission notice copyright \(c\)[^\n]{0,80}daniel stenberg"),
+    ("artistic-1", "package", r"the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic-2", "package", r"this license establishes the terms under which a given free software package may be copied, modified"),
+    ("python-2", "python", r"python software foundation license version 2"),
+    ("ms-pl", "accompanying", r"this license governs use of the accompanying software\. if you use the software, you accept this license"),
+    ("eupl-1", "eupl", r"licensed under the eupl"),
+    ("osl-3", "licensed", r"licensed under the open software license version 3\.0"),
+    ("afl-3", "academic", r"licensed under the academic free license version 3\.0"),
+    ("busl-1.1", "governed", r"use of the licensed work (is|will be) governed by the business source license"),
+    ("sspl-1", "server", r"under the terms of the server side public license, version 1"),
+    ("elastic-2", "hosted", r"you may not provide the software to third parties as a hosted or managed service"),
+    ("cc0", "deed", r"the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc0", "waived", r"to the extent possible under law,[^\n]{0,120}has waived all copyright and related or neighboring rights"),
+    ("cc-by", "creative", r"licensed under a creative commons attribution [1-4]\.0"),
+    ("cc-by-sa", "creative", r"licensed under a creative commons attribution-share( )?alike [1-4]\.0"),
+    ("cc-by-nc", "creative", r"licensed under a creative commons attribution-non( )?commercial [1-4]\.0"),
+    ("cc-by-nd", "creative", r"licensed under a creative commons attribution-no( )?deriv(ative)?s? [1-4]\.0"),
+    ("cc-by-nc-sa", "creative", r"licensed under a creative commons attribution-non( )?commercial-share( )?alike [1-4]\.0"),
+    ("cc-by-nc-nd", "creative", r"licensed under a creative commons attribution-non( )?commercial-no( )?deriv(ative)?s? [1-4]\.0"),
+    ("ofl-1.1", "font", r"this font software is licensed under the sil open font license, version 1\.1"),
+    ("public-domain", "domain", r"(is|has been|are|was) (placed|dedicated|released)( in)?(to)? the public domain"),
+    ("proprietary", "confidential", r"this (software|file|document) (is|contains) (the )?confidential( and proprietary)?( information)?"),
+    ("proprietary", "proprietary", r"this (software|file|document) (is|contains) (the )?proprietary( and confidential)?( information)?"),
+    ("proprietary", "strictly", r"unauthori[sz]ed (copying|use|distribution|reproduction)[^\n]{0,80}(is|are) strictly prohibited"),
+]
+
 #: A further keyword of licenses whose name need not hold the first.
 SECOND_KEYWORDS = {"python-2": "psf", **dict.fromkeys((k for k in LICENSES if k.startswith("cc-by")), "creative")}
 #: Names that mean something only beside the word license.
@@ -110,8 +197,10 @@ FIRST_GATE = (
     "licen", "spdx", "creative", "cc by", "cc-by", "cc0", "public domain", "rights reserved", "gnu ", "gnu.org", "apache", "mozilla", "opensource.org", "unlicense", "wtfpl", "opendatacommons", "dedication",
     "boost", "eclipse", "bsd", "sil.org/ofl", "/docs/copyright", "bsl11", "joinup.", "under", "redistribute",
 )
-#: What a detection of each priority is worth, in order.
-WORTH = (1.0, 0.95, 0.9, 0.6)
+#: What a detection of each priority is worth, in order: tag, address, signature, grant, name.
+WORTH = (1.0, 0.95, 0.95, 0.9, 0.6)
+#: What stands before the keyword of a signature, to tell it from one of a name.
+SIGNED = "text: "
 
 
 def rules(licenses: dict[str, tuple[str, str, str, str]] | None = None) -> list[tuple[str, str, int, str]]:
@@ -123,12 +212,14 @@ def rules(licenses: dict[str, tuple[str, str, str, str]] | None = None) -> list[
         forms += [
             ("spdx", label, 1, rf"(?i)SPDX-License-Identifier:\s*\(?{spdx}(?![\w.-])"),
             (keyword if keyword.isascii() and keyword in address.lower().replace("\\", "") else "", label, 2, rf"(?i)\b(?:https?://)?(?:www\.)?{address}"),
-            (keyword, label, 3, rf"(?i){grant}"),
-            (keyword, label, 4, rf"(?i){bare}"),
+            (keyword, label, 4, rf"(?i){grant}"),
+            (keyword, label, 5, rf"(?i){bare}"),
         ]
         if label in SECOND_KEYWORDS:
             # a text with both keywords has each place twice; of equal detections one is suppressed
             forms += [(SECOND_KEYWORDS[label], *f[1:]) for f in forms[-2:]]
+    if licenses is None:
+        forms += [(SIGNED + keyword, label, 3, "(?i)" + sentence.replace(" ", BETWEEN)) for label, keyword, sentence in SIGNATURES]
     return sorted(forms, key=lambda r: r[2])
 
 
@@ -192,15 +283,29 @@ def detections(text: Column, licenses: dict[str, tuple[str, str, str, str]] | No
     """
     low = F.lower(text) if low is None else low
     table = rules(licenses)
-    words = sorted({r[0] for r in table} - {""})
     empty = F.expr("cast(array() as array<struct<start:int,end:int,priority:int,label:string>>)")
+    together: dict[str, str] = {}
+    for keyword, _, _, pattern in table:
+        together[keyword] = f"{together[keyword]}|{pattern[4:]}" if keyword in together else pattern
+
+    def present(keyword: str) -> Column:
+        word = F.contains(low, F.lit(keyword.removeprefix(SIGNED))) if keyword else F.lit(True)
+        return F.when(word & text.rlike(together[keyword]), F.lit(keyword))
 
     def with_words(own: Column) -> Column:
-        tried = F.filter(_array(table), lambda r: (r["keyword"] == "") | F.array_contains(own, r["keyword"]))
-        return suppressed(F.flatten(F.transform(tried, lambda r: places(text, r["pattern"], r["label"], r["priority"]))))
+        tried = F.filter(_array(table), lambda r: F.array_contains(own, r["keyword"]))
+        found = suppressed(F.flatten(F.transform(tried, lambda r: places(text, r["pattern"], r["label"], r["priority"]))))
+        return F.when(F.size(own) > 0, found).otherwise(empty)
 
-    named = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
-    return F.when(_has_one(low, FIRST_GATE) & text.rlike(GATE), let(named, with_words)).otherwise(empty)
+    no_words = F.expr("cast(array() as array<string>)")
+    names = [k for k in together if not k.startswith(SIGNED)]
+    signed = [k for k in together if k.startswith(SIGNED)]
+    by_name = F.when(_has_one(low, FIRST_GATE) & text.rlike(GATE), F.array_compact(F.array(*map(present, names)))).otherwise(no_words)
+    if not signed:
+        return let(by_name, with_words)
+    words = tuple(k.removeprefix(SIGNED) for k in signed)
+    by_text = F.when(_has_one(low, words), F.array_compact(F.array(*map(present, signed)))).otherwise(no_words)
+    return let(F.concat(by_name, by_text), with_words)
 
 
 def _stands(words: Column, own: list[str]):
@@ -232,13 +337,23 @@ def phrase_places(text: Column, phrases: dict[str, str] | None = None, low: Colu
     return F.when(_has_one(low, longest) & text.rlike(gate), let(words, of)).otherwise(empty)
 
 
+def word_count(text: Column, gap: str = GAP) -> Column:
+    """The number of words between gaps: the parts of the text without empty ones at its ends."""
+
+    def of(parts: Column) -> Column:
+        n = F.size(parts)
+        return n - (F.get(parts, F.lit(0)) == "").cast("int") - ((n > 1) & (F.get(parts, n - 1) == "")).cast("int")
+
+    return let(F.split(text, gap), of).cast("long")
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", licenses: dict[str, tuple[str, str, str, str]] | None = None) -> DataFrame:
     """``doc_id, n_words, base, found``: the fixed phrases' places and the rules' detections."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("low", F.lower("text"))
     return own.select(
         "doc_id",
-        F.regexp_count(F.col("text"), F.lit(WORD)).cast("long").alias("n_words"),
+        word_count(F.col("text")).alias("n_words"),
         phrase_places(F.col("text"), low=F.col("low")).alias("base"),
         detections(F.col("text"), licenses, F.col("low")).alias("found"),
     )
@@ -255,5 +370,5 @@ def summary(scanned: DataFrame) -> DataFrame:
         F.array_min(at).cast("long").alias("first_word"), F.array_max(at).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
         F.array_join(both, ",").alias("labels"),
-        F.greatest(F.coalesce(F.array_max(worth), F.lit(0.0)), F.when(F.size("base") > 0, WORTH[2]).otherwise(0.0)).alias("score"),
+        F.greatest(F.coalesce(F.array_max(worth), F.lit(0.0)), F.when(F.size("base") > 0, WORTH[3]).otherwise(0.0)).alias("score"),
     )
