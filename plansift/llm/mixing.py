@@ -17,9 +17,10 @@ than ``GROUP`` documents of a source at once whatever the source's size.
 
 Defined cases: null text counts as size 0; documents of size 0 are taken 0
 times; the null source is a source of its own, after the others; rows that
-repeat an id are documents of their own; an empty table gives no rows. Extra
-columns are never read. Draws come from hashes of seed, level and ids, so
-reruns agree.
+repeat an id are documents of their own, and rows alike in id, source and size
+are numbered, so that they are dealt to groups like any other; an empty table
+gives no rows. Extra columns are never read. Draws come from hashes of seed,
+level, ids and those numbers, so reruns agree.
 """
 
 from __future__ import annotations
@@ -27,11 +28,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plansift.llm.license_scan import word_count
 from plansift.llm.rows import unused
 from plansift.session import settle
 
-#: A word, in Java's regular expressions.
-WORD = r"[^\x20\x09-\x0D]+"
+#: What parts words, in Java's regular expressions.
+GAP = r"[\x20\x09-\x0D]+"
 #: Documents, or residuals of groups, that meet in one group.
 GROUP = 64
 #: Weights of the sources in order, repeating.
@@ -43,7 +45,7 @@ FEW = 10_000
 
 def size_of(text: Column) -> Column:
     """The number of words; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return F.coalesce(word_count(text.cast("string"), GAP), F.lit(0).cast("long"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -118,13 +120,15 @@ def _meet(items: Column, level: int, seed: int) -> Column:
 
 
 def dependent_rounding(items: DataFrame, seed: int = SEED, group: int = GROUP) -> DataFrame:
-    """Round ``source, doc_id, size, whole, p`` (0 < p < 1, size > 0) to ``copies``.
+    """Round ``source, doc_id, size, whole, p, nth`` (0 < p < 1, size > 0) to ``copies``.
+
+    ``nth`` tells rows apart that are alike in the rest.
 
     Each level deals the open items of a source to groups of ``group`` by hash,
     lets them meet there and passes one item per group up. The number of
     levels follows from the largest source: ``log(n) / log(group)`` plus one.
     """
-    at = items.withColumn("draw", F.xxhash64(F.lit(seed), "source", "doc_id", "size"))
+    at = items.withColumn("draw", F.xxhash64(F.lit(seed), "source", "doc_id", "size", "nth")).drop("nth")
     done: DataFrame | None = None
     level = 0
     while True:
@@ -176,10 +180,11 @@ def mix(
 ) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` for every row of ``docs``."""
     sized = settle(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size")),
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size"))
+        .groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("n")),
         "sizes",
     )
-    targets = settle(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "targets")
+    targets = settle(source_targets(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, cap), "targets")
     targets = targets.withColumnRenamed("source", "__source")
     few = F.broadcast(targets) if targets.count() <= FEW else targets
     own = F.col("source").eqNullSafe(F.col("__source"))
@@ -187,8 +192,8 @@ def mix(
     whole = F.floor(F.col("rate") + F.lit(1e-12))
     rated = (
         sized.join(few, own)
-        .select("source", "doc_id", "size", rate.alias("rate"))
-        .select("source", "doc_id", "size", F.when(F.col("size") > 0, whole).otherwise(F.lit(0)).cast("long").alias("whole"), F.greatest(F.col("rate") - whole, F.lit(0.0)).alias("p"))
+        .select("source", "doc_id", "size", rate.alias("rate"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth"))
+        .select("source", "doc_id", "size", "nth", F.when(F.col("size") > 0, whole).otherwise(F.lit(0)).cast("long").alias("whole"), F.greatest(F.col("rate") - whole, F.lit(0.0)).alias("p"))
     )
     open_ = (F.col("size") > 0) & (F.col("p") > 1e-9)
     copies = rated.filter(~open_).select("source", "doc_id", "size", F.col("whole").alias("copies")).unionByName(dependent_rounding(rated.filter(open_), seed))
@@ -197,22 +202,61 @@ def mix(
     )
 
 
+#: Parts that the rows of one key are dealt to while they are ranked.
+SALTS = 64
+
+
+def _ranges(counted: DataFrame, keys: list[str], order: str, salts: int = SALTS) -> DataFrame:
+    """Add ``low`` and ``high``: the range of places that each row's ``n`` takes among the rows of its keys.
+
+    Places are dealt within salted parts of a key and over the sums of the
+    parts before, so no task ranks all rows of a hot key.
+    """
+    salted = counted.withColumn("salt", F.pmod(F.xxhash64(order), F.lit(salts)))
+    part = Window.partitionBy(*keys, "salt").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = salted.groupBy(*keys, "salt").agg(F.sum("n").alias("all_")).withColumn(
+        "before", F.sum("all_").over(Window.partitionBy(*keys).orderBy("salt")) - F.col("all_")
+    )
+    same = F.lit(True)
+    named = parts.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("salt").alias("salt_"), "before")
+    for k in [*keys, "salt"]:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    ranked = salted.withColumn("own", F.sum("n").over(part)).join(named, same)
+    return ranked.withColumn("high", F.col("own") + F.col("before")).withColumn("low", F.col("high") - F.col("n")).select(*counted.columns, "low", "high")
+
+
 def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
     """``docs`` as the mix takes them: every row as often as its copies say.
 
-    Rows that repeat an id, source and size are dealt their copies in turn, so
-    the number of rows is the number of copies in the mix.
+    Rows alike in id, source and size share what the mix takes of them: each
+    takes the copies of its place among them, and rows alike in all columns
+    are one row with their copies summed. So the number of rows is the number
+    of copies in the mix, and no list of alike rows is ever gathered.
     """
     mixed = settle(mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **params), "mix")
-    id_, source, size, all_, own, copy = unused(docs, "__id", "__source", "__size", "__all", "__own", "__copy")
-    of = mixed.groupBy(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("z")).agg(
-        F.sort_array(F.collect_list("copies"), asc=False).alias(all_)
-    )
+    id_, source, size, own, copy, print_, i, s, z = unused(docs, "__id", "__source", "__size", "__own", "__copy", "__print", "__i", "__s", "__z")
+    counted = settle(mixed.groupBy(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("z"), "copies").agg(F.count(F.lit(1)).alias("n")), "counted")
+    of = counted.groupBy(F.col("i").alias(i), F.col("s").alias(s), F.col("z").alias(z)).agg(F.sum("n").alias("rows"), F.sum("copies").alias(own))
     keyed = docs.withColumns({id_: F.col(id_col).cast("long"), source: F.col(source_col).cast("string"), size: size_of(F.col(text_col))})
-    same = keyed[id_].eqNullSafe(of["i"]) & keyed[source].eqNullSafe(of["s"]) & (keyed[size] == of["z"])
-    joined = keyed.join(of, same).select(*[keyed[c] for c in keyed.columns], of[all_])
-    single = joined.filter(F.size(all_) == 1).withColumn(own, F.element_at(all_, 1))
-    turn = F.row_number().over(Window.partitionBy(id_, source, size).orderBy(F.xxhash64(text_col), F.col(text_col)))
-    shared = joined.filter(F.size(all_) > 1).withColumn(own, F.element_at(all_, turn))
-    both = single.unionByName(shared).filter(F.col(own) > 0)
-    return both.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(own)))).drop(id_, source, size, all_, own, copy)
+
+    def same(one: tuple[str, ...], two: tuple[str, ...]) -> Column:
+        return F.col(one[0]).eqNullSafe(F.col(two[0])) & F.col(one[1]).eqNullSafe(F.col(two[1])) & (F.col(one[2]) == F.col(two[2]))
+
+    keys, far, plain = (id_, source, size), (i, s, z), ("i", "s", "z")
+    single = keyed.join(of.filter((F.col("rows") == 1) & (F.col(own) > 0)).drop("rows"), same(keys, far)).drop(*far)
+    several = settle(of.filter("rows > 1").select(*far), "several")
+    both = single
+    if not several.isEmpty():
+        alike = keyed.join(several, same(keys, far), "left_semi").withColumn(print_, F.xxhash64(*docs.columns))
+        # one row of each kind with the range of places its copies of itself take
+        kinds = alike.groupBy(*[F.col(k).alias(p) for k, p in zip(keys, plain, strict=True)], F.col(print_).alias("print")).agg(F.count(F.lit(1)).alias("n"))
+        kinds = _ranges(kinds, list(plain), "print")
+        taken = _ranges(counted.join(several, same(plain, far), "left_semi"), list(plain), "copies", 1)
+        taken = taken.select(*[F.col(p).alias(f) for p, f in zip(plain, far, strict=True)], "copies", F.col("low").alias("from"), F.col("high").alias("to"))
+        common = F.least("high", "to") - F.greatest("low", "from")
+        met = kinds.join(taken, same(plain, far) & (F.col("low") < F.col("to")) & (F.col("from") < F.col("high")))
+        due = met.groupBy(*plain, "print").agg(F.sum(common * F.col("copies")).alias(own)).filter(F.col(own) > 0)
+        first = alike.groupBy(*keys, print_).agg(F.first(F.struct(*docs.columns)).alias(copy))
+        shared = first.join(due, same(keys, plain) & (F.col(print_) == F.col("print"))).select(f"{copy}.*", *keys, own)
+        both = single.unionByName(shared)
+    return both.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(own)))).drop(id_, source, size, own, copy)

@@ -58,7 +58,7 @@ def test_mix(spark):
 
 
 def test_expectation_is_the_fraction(spark):
-    items = spark.createDataFrame([("s", i, 1 + i % 7, 0, 0.1 + 0.8 * (i % 10) / 10) for i in range(100)], "source string, doc_id bigint, size bigint, whole bigint, p double")
+    items = spark.createDataFrame([("s", i, 1 + i % 7, 0, 0.1 + 0.8 * (i % 10) / 10, 1) for i in range(100)], "source string, doc_id bigint, size bigint, whole bigint, p double, nth bigint")
     n, total = 60, [0] * 100
     for seed in range(n):
         rows = dependent_rounding(items, seed, group=8).collect()
@@ -83,3 +83,43 @@ def test_rows_repeat(spark):
         assert out.columns == d.columns
         assert out.count() == mix(d).agg(F.sum("copies")).first()[0]
     assert repeat_rows(empty(spark)).count() == 0
+
+
+def alike(spark, n, texts=1):
+    return spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("w x y z "), (F.col("id") % texts).cast("string")).alias("text"), F.lit("s").alias("source"), F.lit("l").alias("lang")).unionByName(
+        spark.createDataFrame([(1, "a b c " * 50_000, "t", "l")], "doc_id bigint, text string, source string, lang string"))
+
+
+def test_alike_rows_are_dealt_to_groups(spark):
+    import plansift.llm.mixing as mixing
+
+    most = []
+    held = mixing.settle
+
+    def watched(df, name):
+        out = held(df, name)
+        if name.startswith("met-"):
+            most.append(out.agg(F.max(F.size("met.done"))).first()[0] or 0)
+        return out
+
+    mixing.settle = watched
+    try:
+        rows = mix(alike(spark, 100_000))
+        assert rows.count() == 100_001
+        taken = rows.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("size")).collect()
+    finally:
+        mixing.settle = held
+    assert all(abs(r["taken"] - r["target"]) <= r["size"] for r in taken)
+    assert most and max(most) <= 2 * mixing.GROUP
+
+
+def test_alike_rows_are_repeated(spark):
+    for texts in (1, 5, 3000):
+        d = alike(spark, 20_000, texts)
+        out = repeat_rows(d)
+        assert out.columns == d.columns and out.count() == mix(d).agg(F.sum("copies")).first()[0]
+        counts = [r["count"] for r in out.filter("doc_id is null").groupBy("text").count().collect()]
+        # the mix takes each row once or twice, or not at all: so also each text, as often as it stands there
+        assert max(counts) <= 2 * 20_000 / texts + 2
+    odd = spark.createDataFrame([(7, "a b", "s", k) for k in range(40)] + [(7, "b c", "s", 1)] * 3 + [(None, "a b", None, 2)] * 5, "doc_id bigint, text string, source string, i int")
+    assert repeat_rows(odd).count() == mix(odd).agg(F.sum("copies")).first()[0]
