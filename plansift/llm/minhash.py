@@ -10,8 +10,8 @@ bins that agree by chance.
 Defined cases: null counts as the empty text; a text of fewer words than a
 shingle is one shingle of all its words (of none, the empty shingle, so that
 texts without words are alike); equal texts have equal fingerprints; rows that
-repeat an id are told apart by their text's hash in the order of
-:func:`with_next`; an empty table gives no rows; extra columns are never read.
+repeat an id follow each other by their text's hash, in the order of
+:func:`with_next`, however many there are; an empty table gives no rows; extra columns are never read.
 """
 
 from __future__ import annotations
@@ -132,45 +132,66 @@ def likeness(a: Column, b: Column, bits: int = BIN_BITS) -> Column:
 #: Rows that a range of ids is meant to hold while each row looks for its next one.
 RANGE_ROWS = 20_000
 MOST_RANGES = 8192
+LEAST, GREATEST = -(1 << 63), (1 << 63) - 1
 
 
-def with_next(rows: DataFrame, id_col: str, tie_col: str, ranges: int | None = None) -> DataFrame:
+def with_next(rows: DataFrame, id_col: str, tie_col: str, ranges: int | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Add ``next``: a struct of the row that follows by falling id; the first row after the last.
 
-    Ids are cut into ranges at quantiles; within a range a window finds the
-    next row, and the first row of each range is also sent to the range above
-    it. So rows travel once, and no task holds more than a range.
+    Rows of one id follow each other by the hash of ``tie_col``, which must
+    settle all other columns. Ids are cut into ranges at quantiles; within a
+    range a window finds the next row, and the first row of each range is also
+    sent to the range above it. So rows travel once, and no task holds more
+    than a range. An id that fills ranges by itself is cut by the hash; of its
+    rows, those that are alike are one row while they look for the next.
     """
     fields, spark = rows.columns, rows.sparkSession
-    key = F.coalesce(F.col(id_col), F.lit(-(1 << 63)))
+    key, tie = F.coalesce(F.col(id_col), F.lit(LEAST)), F.xxhash64(tie_col)
     n = rows.agg(F.count(F.lit(1))).first()[0]
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = ranges or max(1, min(MOST_RANGES, max(-(-n // RANGE_ROWS), min(shuffle, n // 100))))
-    cuts = rows.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)] or [0.5], 10 * parts)).first()[0] or []
-    ranged = rows.withColumn("__range", _range_of(key, sorted(set(cuts))))
-    # the greatest id of each range; these few ids go to the driver and back
-    tops = sorted((r["__range"], r["k"]) for r in ranged.groupBy("__range").agg(F.max(key).alias("k")).collect())
-    guests = spark.createDataFrame(
-        [(r, k, tops[(i + 1) % len(tops)][0]) for i, (r, k) in enumerate(tops)], "__range int, __top bigint, __above int"
-    )
+    parts = ranges or max(1, min(MOST_RANGES, max(-(-n // range_rows), min(shuffle, n // 100))))
+    shares = [k / parts for k in range(1, parts)] or [0.5]
+    found = rows.agg(F.percentile_approx(key, shares, 10 * parts)).first()[0] or []
+    cuts = {(c, GREATEST) for c in found}
+    # an id at several quantiles in a row has more rows than a range
+    hot = sorted({a for a, b in zip(found, found[1:], strict=False) if a == b}) if n > range_rows else []
+    whole = rows.withColumn("__copies", F.lit(1).cast("long"))
+    if hot:
+        own = F.array_contains(F.array(*[F.lit(h).cast("bigint") for h in hot]), key)
+        rest = [c for c in fields if c not in (id_col, tie_col)]
+        alike = rows.filter(own).groupBy(id_col, tie_col).agg(*[F.first(c).alias(c) for c in rest], F.count(F.lit(1)).alias("__copies"))
+        for r in alike.groupBy(key.alias("k")).agg(F.percentile_approx(tie, shares, 10 * parts).alias("at")).collect():
+            cuts |= {(r["k"], LEAST), *((r["k"], h) for h in r["at"])}
+        whole = rows.filter(~own).withColumn("__copies", F.lit(1).cast("long")).unionByName(alike)
+    ranged = whole.withColumns({"__key": key, "__tie": tie}).withColumn("__range", _range_of(F.col("__key"), F.col("__tie"), sorted(cuts)))
+    # the greatest row of each range; these few ids go to the driver and back
+    tops = sorted((r["__range"], r["top"]["k"], r["top"]["t"]) for r in ranged.groupBy("__range").agg(F.max(F.struct(F.col("__key").alias("k"), F.col("__tie").alias("t"))).alias("top")).collect())
+    guests = spark.createDataFrame([(r, k, t, tops[(i + 1) % len(tops)][0]) for i, (r, k, t) in enumerate(tops)], "__range int, __top bigint, __top_tie bigint, __above int")
+    none = F.lit(None).cast("int")
     hosted = (
         ranged.join(F.broadcast(guests), "__range", "left")
-        .withColumn("__in", F.explode(F.when(key == F.col("__top"), F.array(F.lit(None).cast("int"), F.col("__above"))).otherwise(F.array(F.lit(None).cast("int")))))
+        .withColumn("__in", F.explode(F.when((F.col("__key") == F.col("__top")) & (F.col("__tie") == F.col("__top_tie")), F.array(none, F.col("__above"))).otherwise(F.array(none))))
         .withColumns({"__guest": F.col("__in").isNotNull(), "__in": F.coalesce("__in", "__range")})
     )
-    w = Window.partitionBy("__in").orderBy("__guest", key.desc(), F.xxhash64(tie_col).desc())
-    return hosted.withColumn("next", F.lead(F.struct(*fields)).over(w)).filter("not __guest").select(*fields, "next")
+    w = Window.partitionBy("__in").orderBy("__guest", F.col("__key").desc(), F.col("__tie").desc())
+    after = hosted.withColumn("next", F.lead(F.struct(*fields)).over(w)).filter("not __guest")
+    if not hot:
+        return after.select(*fields, "next")
+    # of rows that are alike the last alone has another one after it
+    after = after.withColumn("__left", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    return after.select(*fields, F.when(F.col("__left") == F.col("__copies"), F.col("next")).otherwise(F.struct(*fields)).alias("next"))
 
 
-def _range_of(key: Column, cuts: list[int]) -> Column:
-    """How many of the sorted cuts are below the key, by binary search."""
+def _range_of(key: Column, tie: Column, cuts: list[tuple[int, int]]) -> Column:
+    """How many of the sorted cuts are below the key and its tie, by binary search."""
     if not cuts:
         return F.lit(0)
-    table = F.array(*[F.lit(c).cast("bigint") for c in cuts])
+    keys, ties = (F.array(*[F.lit(c[k]).cast("bigint") for c in cuts]) for k in (0, 1))
     steps = [1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)]
 
     def step(lo: Column, s: Column) -> Column:
-        return lo + F.when((lo + s <= len(cuts)) & (key > F.get(table, lo + s - 1)), s).otherwise(0)
+        k, t = F.get(keys, lo + s - 1), F.get(ties, lo + s - 1)
+        return lo + F.when((lo + s <= len(cuts)) & ((key > k) | ((key == k) & (tie > t))), s).otherwise(0)
 
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +45,30 @@ def test_many_ranges(spark):
             assert len(rows) == n and all(r["next"]["doc_id"] == (r["doc_id"] - 3 if r["doc_id"] else 3 * (n - 1)) for r in rows)
 
 
+def test_hot_ids_are_split(spark):
+    """Many rows of one id, or of none: rows alike in it and its text are one, and the others fill several ranges."""
+    import plansift.llm.minhash as minhash
+
+    rows = [(i, f"t{i}") for i in range(40)] + [(None, f"n{k % 150}") for k in range(400)] + [(17, f"h{k}") for k in range(300)] + [(17, "same")] * 300
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for ranges in (3, 8, 40):
+        got = minhash.with_next(d, "doc_id", "text", ranges, 50).collect()
+        assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"]) for r in got) == sorted((i if i is not None else -1, t) for i, t in rows)
+        # every row is the next of as many rows as there are of it, and following it leads through all of them
+        name = lambda r: (r["doc_id"], r["text"])
+        assert Counter(name(r["next"]) for r in got) == Counter(rows)
+        order = [(r["doc_id"] if r["doc_id"] is not None else minhash.LEAST, r["next"]["doc_id"] if r["next"]["doc_id"] is not None else minhash.LEAST) for r in got]
+        assert sum(a < b for a, b in order) == 1 and all(b in (a, a - 1) or (a, b) in ((0, minhash.LEAST), (minhash.LEAST, 39)) for a, b in order)
+
+
+def test_a_table_without_ids(spark):
+    from plansift.llm.minhash import with_next
+
+    d = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 50_000).cast("string")).alias("text"))
+    out = with_next(d, "doc_id", "text", 16, 1000)
+    assert out.count() == 100_000
+
+
 def shingles(text):
     w = text.split()
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
