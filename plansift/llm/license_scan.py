@@ -5,9 +5,9 @@ licenses' own texts, of the notices they ask for and of file headers, each
 written by hand (:data:`SIGNATURES`). Names are rules of four forms for each
 license: an SPDX tag, the address of its text, a grant that names it, and the
 bare name (:data:`LICENSES`). The rules of a keyword are tried on a text only
-if the text has the keyword and a pattern of all of them together, which is a
-literal and so compiled once, has a match; names only in texts that pass one
-cheap test besides. Detections that lie within a detection of the same or a
+if the keyword's words are among those of the text and a pattern of all of them
+together, which is a literal and so compiled once, has a match; names only in
+texts that pass one cheap test besides. Detections that lie within a detection of the same or a
 higher priority are suppressed.
 
 Apart from the rules, fixed phrases are found by their words alone; those
@@ -22,6 +22,7 @@ gives no rows; extra columns are never read.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -143,11 +144,16 @@ SIGNATURES: list[tuple[str, str, str]] = [
     ("lgpl-2.1", "1999", r"gnu lesser general public license version 2\.1, february 1999"),
     ("lgpl-3", "2007", r"gnu lesser general public license version 3, 29 june 2007"),
     ("agpl-3", "2007", r"gnu affero general public license version 3, 19 november 2007"),
-    ("gpl-2", "gpl", r"\bgpl(-| )?v( )?2(\.0)?\b"),
-    ("gpl-3", "gpl", r"\bgpl(-| )?v( )?3(\.0)?\b"),
-    ("lgpl-2.1", "lgpl", r"\blgpl(-| )?v( )?2\.1\b"),
-    ("lgpl-3", "lgpl", r"\blgpl(-| )?v( )?3(\.0)?\b"),
-    ("agpl-3", "agpl", r"\bagpl(-| )?v( )?3(\.0)?\b"),
+    ("gpl-2", "gplv2", r"\bgplv2(\.0)?\b"),
+    ("gpl-3", "gplv3", r"\bgplv3(\.0)?\b"),
+    ("lgpl-2.1", "lgplv2", r"\blgplv2\.1\b"),
+    ("lgpl-3", "lgplv3", r"\blgplv3(\.0)?\b"),
+    ("agpl-3", "agplv3", r"\bagplv3(\.0)?\b"),
+    ("gpl-2", "gpl", r"\bgpl(-| )v?( )?2(\.0)?\b"),
+    ("gpl-3", "gpl", r"\bgpl(-| )v?( )?3(\.0)?\b"),
+    ("lgpl-2.1", "lgpl", r"\blgpl(-| )v?( )?2\.1\b"),
+    ("lgpl-3", "lgpl", r"\blgpl(-| )v?( )?3(\.0)?\b"),
+    ("agpl-3", "agpl", r"\bagpl(-| )v?( )?3(\.0)?\b"),
     ("gfdl", "documentation", r"permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation license"),
     ("mpl-2", "mozilla", r"this source code form is subject to the terms of the mozilla public license, v\. 2\.0"),
     ("mpl-1.1", "mozilla", r"the contents of this file are subject to the mozilla public license version 1\.[01]"),
@@ -187,15 +193,15 @@ SIGNATURES: list[tuple[str, str, str]] = [
 ]
 
 #: A further keyword of licenses whose name need not hold the first.
-SECOND_KEYWORDS = {"python-2": "psf", **dict.fromkeys((k for k in LICENSES if k.startswith("cc-by")), "creative")}
+SECOND_KEYWORDS = {"python-2": "psf", "beerware": "beerware", **dict.fromkeys((k for k in LICENSES if k.startswith("cc-by")), "creative")}
 #: Names that mean something only beside the word license.
 BARE_NEEDS_WORD = {"mit", "isc", "zlib", "ruby", "curl", "cc0", "cc-by", "wtfpl", "unlicense"}
 #: Words of which every text that some rule matches has one.
 GATE = r"(?i)licen[cs]|spdx|creative ?commons|\bcc[- ]by|\bcc0\b|public domain|rights reserved|gnu |gnu\.org|apache|mozilla|opensource\.org|unlicense|wtfpl|opendatacommons|dedication|boost|eclipse|bsd|sil\.org/ofl|/docs/copyright|bsl11|joinup\.|\b(?:released|distributed|available|published|provided)\s+under\b|redistribute\b"
-#: Plain words in lower case of which every text that passes :data:`GATE` has one; far cheaper to look for.
+#: Words in lower case of which every text that passes :data:`GATE` by a rule's match has one.
 FIRST_GATE = (
-    "licen", "spdx", "creative", "cc by", "cc-by", "cc0", "public domain", "rights reserved", "gnu ", "gnu.org", "apache", "mozilla", "opensource.org", "unlicense", "wtfpl", "opendatacommons", "dedication",
-    "boost", "eclipse", "bsd", "sil.org/ofl", "/docs/copyright", "bsl11", "joinup.", "under", "redistribute",
+    "license", "licence", "licensed", "licenced", "licenses", "licences", "licensing", "spdx", "creative", "creativecommons", "cc", "cc0", "domain", "reserved", "gnu", "apache", "mozilla", "opensource", "unlicense",
+    "wtfpl", "opendatacommons", "dedication", "boost", "eclipse", "bsd", "freebsd", "ofl", "copyright", "bsl11", "joinup", "under", "redistribute",
 )
 #: What a detection of each priority is worth, in order: tag, address, signature, grant, name.
 WORTH = (1.0, 0.95, 0.95, 0.9, 0.6)
@@ -211,7 +217,7 @@ def rules(licenses: dict[str, tuple[str, str, str, str]] | None = None) -> list[
         grant = rf"\b(?:licen[cs]ed|released|distributed|available|published|provided|made available|redistribute\b[^\n]{{0,60}})\s+under\s+(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?{name}\b"
         forms += [
             ("spdx", label, 1, rf"(?i)SPDX-License-Identifier:\s*\(?{spdx}(?![\w.-])"),
-            (keyword if keyword.isascii() and keyword in address.lower().replace("\\", "") else "", label, 2, rf"(?i)\b(?:https?://)?(?:www\.)?{address}"),
+            (keyword if set(keyword.split()) <= set(re.findall(r"\w+", address.lower())) else "", label, 2, rf"(?i)\b(?:https?://)?(?:www\.)?{address}"),
             (keyword, label, 4, rf"(?i){grant}"),
             (keyword, label, 5, rf"(?i){bare}"),
         ]
@@ -272,40 +278,53 @@ def suppressed(found: Column) -> Column:
     return F.aggregate(F.array_sort(found, before), start, step, lambda s: s["out"])
 
 
-def _has_one(low: Column, words: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
+def words_of(text: Column) -> Column:
+    """The words of a text in lower case, with an empty one at an end that is a gap."""
+    return F.split(F.lower(text), GAP)
 
 
-def detections(text: Column, licenses: dict[str, tuple[str, str, str, str]] | None = None, low: Column | None = None) -> Column:
+def _keywords(table: list[tuple[str, str, int, str]]) -> list[str]:
+    """Every word that a rule, a gate or a phrase looks for."""
+    phrases = {w for p in PHRASES for w in p.split()}
+    return sorted({w for k, _, _, _ in table for w in k.removeprefix(SIGNED).split()} | set(FIRST_GATE) | phrases)
+
+
+def known_words(words: Column, licenses: dict[str, tuple[str, str, str, str]] | None = None) -> Column:
+    """Those of a text's words that some rule, gate or phrase looks for: one pass over the words."""
+    return F.array_intersect(words, F.array(*[F.lit(w) for w in _keywords(rules(licenses))]))
+
+
+def detections(text: Column, licenses: dict[str, tuple[str, str, str, str]] | None = None, known: Column | None = None) -> Column:
     """The detections of a text that stay: an array of ``start, end, priority, label``, in characters.
 
-    ``low`` is the text in lower case, where a column has it already.
+    ``known`` are its :func:`known_words`, where a column has them already.
     """
-    low = F.lower(text) if low is None else low
+    known = known_words(words_of(text), licenses) if known is None else known
     table = rules(licenses)
     empty = F.expr("cast(array() as array<struct<start:int,end:int,priority:int,label:string>>)")
+    no_words = F.expr("cast(array() as array<string>)")
     together: dict[str, str] = {}
     for keyword, _, _, pattern in table:
         together[keyword] = f"{together[keyword]}|{pattern[4:]}" if keyword in together else pattern
+    names = [k for k in together if not k.startswith(SIGNED)]
+    signed = [k for k in together if k.startswith(SIGNED)]
 
-    def present(keyword: str) -> Column:
-        word = F.contains(low, F.lit(keyword.removeprefix(SIGNED))) if keyword else F.lit(True)
-        return F.when(word & text.rlike(together[keyword]), F.lit(keyword))
+    def of(own: Column) -> Column:
+        def present(keyword: str) -> Column:
+            stands = reduce(lambda a, b: a & b, [F.array_contains(own, w) for w in keyword.removeprefix(SIGNED).split()], F.lit(True))
+            return F.when(stands & text.rlike(together[keyword]), F.lit(keyword))
 
-    def with_words(own: Column) -> Column:
-        tried = F.filter(_array(table), lambda r: F.array_contains(own, r["keyword"]))
-        found = suppressed(F.flatten(F.transform(tried, lambda r: places(text, r["pattern"], r["label"], r["priority"]))))
-        return F.when(F.size(own) > 0, found).otherwise(empty)
+        def with_words(tries: Column) -> Column:
+            tried = F.filter(_array(table), lambda r: F.array_contains(tries, r["keyword"]))
+            found = suppressed(F.flatten(F.transform(tried, lambda r: places(text, r["pattern"], r["label"], r["priority"]))))
+            return F.when(F.size(tries) > 0, found).otherwise(empty)
 
-    no_words = F.expr("cast(array() as array<string>)")
-    names = [k for k in together if not k.startswith(SIGNED)]
-    signed = [k for k in together if k.startswith(SIGNED)]
-    by_name = F.when(_has_one(low, FIRST_GATE) & text.rlike(GATE), F.array_compact(F.array(*map(present, names)))).otherwise(no_words)
-    if not signed:
-        return let(by_name, with_words)
-    words = tuple(k.removeprefix(SIGNED) for k in signed)
-    by_text = F.when(_has_one(low, words), F.array_compact(F.array(*map(present, signed)))).otherwise(no_words)
-    return let(F.concat(by_name, by_text), with_words)
+        gate = F.arrays_overlap(own, F.array(*[F.lit(w) for w in FIRST_GATE])) & text.rlike(GATE)
+        by_name = F.when(gate, F.array_compact(F.array(*map(present, names)))).otherwise(no_words)
+        by_text = F.array_compact(F.array(*map(present, signed))) if signed else no_words
+        return let(F.concat(by_name, by_text), with_words)
+
+    return F.when(F.size(known) > 0, let(known, of)).otherwise(empty)
 
 
 def _stands(words: Column, own: list[str]):
@@ -316,46 +335,47 @@ def _labelled(label: str):
     return lambda i: F.struct(i.alias("at"), F.lit(label).alias("label"))
 
 
-def phrase_places(text: Column, phrases: dict[str, str] | None = None, low: Column | None = None) -> Column:
-    """``at, label`` of each place where a phrase's words stand one after the other, words counted from 0."""
+def phrase_places(words: Column, known: Column, phrases: dict[str, str] | None = None) -> Column:
+    """``at, label`` of each place where a phrase's words stand one after the other, words counted from 0.
+
+    ``words`` are those of :func:`words_of`.
+    """
     phrases = phrases or PHRASES
-    low = F.lower(text) if low is None else low
-    # a text without the longest word of any phrase has none; words of the phrases are ASCII
-    longest = tuple(dict.fromkeys(max(p.split(), key=len) for p in phrases))
-    gate = "(?i)" + "|".join(GAP.join(p.split()) for p in phrases)
     empty = F.expr("cast(array() as array<struct<at:int,label:string>>)")
 
-    def of(words: Column) -> Column:
-        n, found = F.size(words), []
+    def of(own: Column) -> Column:
+        n, found = F.size(own), []
         for phrase, label in phrases.items():
-            own = phrase.split()
-            at = F.when(n >= len(own), F.filter(F.sequence(F.lit(0), n - len(own)), _stands(words, own))).otherwise(F.expr("cast(array() as array<int>)"))
+            parts = phrase.split()
+            at = F.when(n >= len(parts), F.filter(F.sequence(F.lit(0), n - len(parts)), _stands(own, parts))).otherwise(F.expr("cast(array() as array<int>)"))
             found.append(F.transform(at, _labelled(label)))
         return F.flatten(F.array(*found))
 
-    words = F.transform(F.filter(F.split(text, GAP), lambda w: w != ""), F.lower)
-    return F.when(_has_one(low, longest) & text.rlike(gate), let(words, of)).otherwise(empty)
+    # a text that lacks a word of each phrase has none
+    some = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.array_contains(known, w) for w in p.split()]) for p in phrases])
+    return F.when(some, let(F.filter(words, lambda w: w != ""), of)).otherwise(empty)
 
 
-def word_count(text: Column, gap: str = GAP) -> Column:
-    """The number of words between gaps: the parts of the text without empty ones at its ends."""
+def _count(parts: Column) -> Column:
+    n = F.size(parts)
+    return (n - (F.get(parts, F.lit(0)) == "").cast("int") - ((n > 1) & (F.get(parts, n - 1) == "")).cast("int")).cast("long")
 
-    def of(parts: Column) -> Column:
-        n = F.size(parts)
-        return n - (F.get(parts, F.lit(0)) == "").cast("int") - ((n > 1) & (F.get(parts, n - 1) == "")).cast("int")
 
-    return let(F.split(text, gap), of).cast("long")
+def word_count(text: Column, gap: str = GAP) -> Column:
+    """The number of words between gaps: the parts of the text without empty ones at its ends."""
+    return let(F.split(text, gap), _count)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", licenses: dict[str, tuple[str, str, str, str]] | None = None) -> DataFrame:
     """``doc_id, n_words, base, found``: the fixed phrases' places and the rules' detections."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("low", F.lower("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("words", words_of(F.col("text")))
+    own = own.withColumn("known", known_words(F.col("words"), licenses))
     return own.select(
         "doc_id",
-        word_count(F.col("text")).alias("n_words"),
-        phrase_places(F.col("text"), low=F.col("low")).alias("base"),
-        detections(F.col("text"), licenses, F.col("low")).alias("found"),
+        _count(F.col("words")).alias("n_words"),
+        phrase_places(F.col("words"), F.col("known")).alias("base"),
+        detections(F.col("text"), licenses, F.col("known")).alias("found"),
     )
 
 
