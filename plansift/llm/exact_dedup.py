@@ -29,7 +29,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plansift.llm.rows import unused
+from plansift.llm.rows import only_kept
 from plansift.session import settle, shared_dir, small
 
 #: Digests a bucket is meant to hold when the number of buckets is not given.
@@ -195,24 +195,6 @@ def dedup_table(docs: DataFrame, batches: int = BATCHES, id_col: str = "doc_id",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each text, all columns as they were.
-
-    Rows to drop are named by id and digest; they are sent to all tasks if they
-    are few, so that texts need not travel, and joined otherwise. Rows that
-    repeat id and text are told apart by a further step that sees such rows
-    alone.
-    """
-    verdict = settle(dedup_table(docs, id_col=id_col, text_col=text_col), "verdict")
-    id_, own = unused(docs, "__id", "__digest")
-    keys = verdict.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
-    keys = settle(keys.filter("n > 1 or not kept").select(F.col("doc_id").alias(id_), F.unhex("text_sha256").alias(own), "kept"), "keys")
-    gone, again = keys.filter("not kept").drop("kept"), keys.filter("kept").drop("kept")
-    keyed = docs.withColumns({id_: F.col(id_col).cast("long"), own: digest(F.col(text_col))})
-
-    def meet(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-        return left.join(small(right), left[id_].eqNullSafe(right[id_]) & (left[own] == right[own]), how)
-
-    kept = meet(keyed, gone, "left_anti")
-    if not again.isEmpty():
-        kept = meet(kept, again, "left_anti").unionByName(meet(kept, again, "left_semi").dropDuplicates([id_, own]))
-    return kept.drop(id_, own)
+    """``docs`` with one row of each text, all columns as they were."""
+    verdict = settle(dedup_table(docs, id_col=id_col, text_col=text_col).select("doc_id", F.unhex("text_sha256").alias("mark"), "kept"), "verdict")
+    return only_kept(docs, verdict, id_col, digest(F.col(text_col)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from plansift.session import settle, small
 
 #: Rows of a batch that are Python objects at a time.
 AT_ONCE = 1024
@@ -35,6 +36,34 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def mark_of(text_col: str | Column) -> Column:
+    """A hash that tells texts apart; null counts as empty."""
+    return F.xxhash64(text_or_empty(text_col), F.lit(11))
+
+
+def only_kept(docs: DataFrame, verdict: DataFrame, id_col: str, mark: Column) -> DataFrame:
+    """``docs`` without the rows that a verdict drops, all columns as they were.
+
+    ``verdict`` has ``doc_id, mark, kept`` for every row, at most one of those
+    alike in id and mark kept. What goes is named by both and sent to all tasks
+    if it is little, so that texts need not travel, and joined otherwise. Rows
+    alike in both are told apart by a further step that sees such rows alone.
+    """
+    id_, own = unused(docs, "__id", "__mark")
+    keys = verdict.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
+    keys = settle(keys.filter("n > 1 or not kept").select(F.col("doc_id").alias(id_), F.col("mark").alias(own), "kept"), "keys")
+    gone, again = keys.filter("not kept").drop("kept"), keys.filter("kept").drop("kept")
+    keyed = docs.withColumns({id_: F.col(id_col).cast("long"), own: mark})
+
+    def meet(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        return left.join(small(right), left[id_].eqNullSafe(right[id_]) & (left[own] == right[own]), how)
+
+    kept = meet(keyed, gone, "left_anti")
+    if not again.isEmpty():
+        kept = meet(kept, again, "left_anti").unionByName(meet(kept, again, "left_semi").dropDuplicates([id_, own]))
+    return kept.drop(id_, own)
+
+
 def map_columns(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
     """Map batches of columns, as Python lists, to batches of columns.
 

@@ -25,10 +25,10 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plansift.llm.rows import identified, map_columns, unused
+from plansift.llm.rows import identified, map_columns, mark_of, only_kept
 from plansift.operators.graph import connected_components
 from plansift.session import settle
 
@@ -65,15 +65,15 @@ def simhash(text: str, words: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``doc_id, fp`` with the fingerprint's bits in a signed long."""
+    """``doc_id, mark, fp``: a hash of the text, and the fingerprint's bits in a signed long."""
 
     def make():
-        def work(ids: list, texts: list) -> tuple:
-            return ids, np.array([simhash(t, words, seed) for t in texts], dtype=np.uint64).view(np.int64)
+        def work(ids: list, texts: list, marks: list) -> tuple:
+            return ids, marks, np.array([simhash(t, words, seed) for t in texts], dtype=np.uint64).view(np.int64)
 
         return work
 
-    return map_columns(identified(docs, id_col, text_col), make, "doc_id long, fp long")
+    return map_columns(identified(docs, id_col, text_col).withColumn("mark", mark_of("text")), make, "doc_id long, mark long, fp long")
 
 
 @lru_cache(maxsize=1)
@@ -163,7 +163,7 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def near_components(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id`` for every row: the least id that links lead to.
+    """``doc_id, mark, fp, component_id, root`` for every row: the least id that links lead to, and a name of the component.
 
     Null ids are never the least; a component of rows without ids has none.
     """
@@ -172,8 +172,8 @@ def near_components(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "
     found = connected_components(links(least, threshold))
     rooted = least.join(found, least["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = settle(rooted.join(roots, "root").select("fp", "component_id"), "classes")
-    return own.join(classes.hint("merge"), "fp").select("doc_id", "fp", "component_id")
+    classes = settle(rooted.join(roots, "root").select("fp", "component_id", "root"), "classes")
+    return own.join(classes.hint("merge"), "fp").select("doc_id", "mark", "fp", "component_id", "root")
 
 
 def hex_of(fp: Column) -> Column:
@@ -181,25 +181,19 @@ def hex_of(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of the least id, all columns as they were.
+    """``docs`` with one row of each component, all columns as they were.
 
-    Rows that repeat the id of such a row count as copies of it and one stays;
-    rows without an id can't be named and stay. Texts travel once, to meet the
-    ids that stay.
+    The row with the least id stays, of rows that share that id the one whose
+    text has the least hash, and of rows alike in both any one. Rows without an
+    id come after all others.
     """
     return representatives(docs, near_components(docs, threshold, id_col, text_col), id_col, text_col)
 
 
 def representatives(docs: DataFrame, components: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`keep_one` keeps, by their ``doc_id, component_id``."""
-    found = settle(components, "components")
-    id_, n, turn = unused(docs, "__id", "__n", "__turn")
-    stay = settle(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(id_)).agg(F.count(F.lit(1)).alias(n)), "representatives")
-    own = docs[id_col].cast("long") == F.col(id_)
-    out = docs.join(stay.filter(F.col(n) == 1), own, "left_semi")
-    several = stay.filter(F.col(n) > 1)
-    if not several.isEmpty():
-        order = Window.partitionBy(F.col(id_col)).orderBy(F.xxhash64(text_col), F.col(text_col))
-        out = out.unionByName(docs.join(several, own, "left_semi").withColumn(turn, F.row_number().over(order)).filter(F.col(turn) == 1).drop(turn))
-    nameless = docs.filter(F.col(id_col).isNull())
-    return out if nameless.isEmpty() else out.unionByName(nameless)
+    """The rows of ``docs`` that :func:`keep_one` keeps, by their ``doc_id, mark, root``."""
+    found = settle(components.select("doc_id", "mark", "root"), "components")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("mark").alias("own"))
+    stay = settle(found.groupBy("root").agg(F.min(row).alias("stay")), "representatives")
+    verdict = found.join(stay.hint("merge"), "root").select("doc_id", "mark", F.col("doc_id").eqNullSafe(F.col("stay.id")) & (F.col("mark") == F.col("stay.own")))
+    return only_kept(docs, verdict.toDF("doc_id", "mark", "kept"), id_col, mark_of(text_col))

@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from plansift.llm import near_copies
+from plansift.llm import near_copies, simhash
 from tests.llm.cases import clashing, documents, empty
 
 
@@ -70,6 +70,50 @@ def test_large_group_is_one(spark):
     assert [x["doc_id"] for x in near_copies.keep_one(d).collect()] == [0]
 
 
+def shared_passages(groups=4, each=90, seed=8):
+    """Texts around a common passage, with parts of their own of many sizes: large buckets in which some pairs are alike and most are not."""
+    r = random.Random(seed)
+    out = []
+    for g in range(groups):
+        passage = [f"p{g}_{k}" for k in range(120)]
+        for k in range(each):
+            own = [f"o{g}_{r.randrange(6)}_{j}" for j in range(r.choice([6, 14, 25, 40, 60]))]
+            out.append(" ".join(passage + own if k % 2 else own + passage))
+    return out
+
+
+def test_large_buckets_lose_no_link(spark):
+    texts = shared_passages()
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").cache()
+    want = least_ids(d.collect())
+    assert 20 < len({c for _, c in want}) < len(texts)
+    for part in (5, 256):
+        got = near_copies.near_components(d, part=part).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in got) == want
+
+
+def test_rest_pairs_are_all_that_is_left(spark):
+    """Of each bucket, the pairs compared with hubs and the rest make up all pairs of different components."""
+    r = random.Random(4)
+    members = {b: r.sample(range(100), r.randrange(2, 30)) for b in range(12)}
+    of = {f: r.randrange(4) for f in range(100)}
+    rows = [(b, f, 10, len(own), [(min(own), 10), (max(own), 10)]) for b, own in members.items() for f in own]
+    met = spark.createDataFrame(rows, "bucket bigint, fp bigint, n bigint, members bigint, hubs array<struct<fp:bigint,n:bigint>>")
+    components = spark.createDataFrame([(f, 1000 + c) for f, c in of.items()], "node bigint, component bigint")
+    want = {(min(x, y), max(x, y)) for own in members.values() for x in own for y in own if of[x] != of[y]}
+    for part in (3, 50):
+        rest = {tuple(q) for q in near_copies.rest_pairs(met, components, part).collect()}
+        hubs = {tuple(q) for q in near_copies.hub_pairs(met).collect()}
+        assert rest <= want <= rest | hubs
+
+
+def test_unrelated_texts_under_one_id_both_stay(spark):
+    a, b = ("w%d " * 40) % tuple(range(40)), ("v%d " * 40) % tuple(range(40))
+    d = spark.createDataFrame([(1, a), (1, b), (2, a + "x"), (3, b + "x"), (1, a), (None, a + "y"), (None, "alone and without an id")], "doc_id bigint, text string")
+    for keep in (near_copies.keep_one, lambda t: simhash.keep_one(t, 6)):
+        assert sorted(r["text"] for r in keep(d).collect()) == sorted([a, b, "alone and without an id"])
+
+
 def test_odd_tables(spark):
     for d in (documents(spark), clashing(spark)):
         got = near_copies.near_components(d).filter("doc_id is not null").collect()
