@@ -53,25 +53,34 @@ RANKED_TOGETHER = 250_000
 LETTER, NUMBER, MARK = r"[^\W\d_²³¹¼-¾]", r"[\d²³¹¼-¾]", r"(?:[^\s\w]|_)"
 PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?{LETTER}+| ?{NUMBER}+| ?{MARK}+|\s+(?!\S)|\s+")
 PLAIN = re.compile("[\x00-\x1b\x20-\u0527\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u3001-\u3006\u3041-\u3094\u4e00-\u9fa5\U0001f300-\U0001f64f]*")
-#: Pieces of text whose ids a task remembers in each of two generations, and the longest of them.
-REMEMBERED, LONGEST = 1 << 20, 48
+#: Pieces of text whose ids a task remembers in each of two generations, the longest of them, and places to mark what was seen once.
+REMEMBERED, LONGEST, MARKS = 1 << 18, 48, 1 << 22
 
 
 class Pieces(dict):
     """Ids, as little-endian bytes, by piece of text; what is not there yet is asked of the tokenizer.
 
-    A full generation becomes the old one; what is used again moves on.
+    A piece is remembered when it comes a second time, so the many that come
+    once take no room. A full generation becomes the old one; what is used
+    again moves on.
     """
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.old = tokenizer, {}
+        self.tokenizer, self.old, self.seen, self.marked = tokenizer, {}, bytearray(MARKS), 0
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
             found = self.tokenizer.encode(piece, add_special_tokens=False).ids
             ids = pack_bytes(f"<{len(found)}I", *found)
+            at = hash(piece) % MARKS
+            if not self.seen[at]:
+                self.seen[at] = 1
+                self.marked += 1
+                if 2 * self.marked > MARKS:
+                    self.seen, self.marked = bytearray(MARKS), 0
+                return ids
         if len(piece) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.old = dict(self)
