@@ -18,6 +18,34 @@ def vote(neighbours: DataFrame, values: DataFrame, least: int = 1, query: str =
     )
 
 
+def group_votes(members: DataFrame, values: DataFrame, group: str, least: int = 1, key: str = "query", value: str = "value") -> DataFrame:
+    """``query, value, votes`` where the neighbours of a member are all others of its group.
+
+    A value's votes are the members of the group that have it, less the member
+    itself: no pair of members is formed.
+    """
+    has = values.select(key, F.col(value).alias("value")).distinct()
+    counts = members.select(key, group).join(has, key).groupBy(group, "value").agg(F.count(F.lit(1)).alias("n"))
+    due = members.select(key, group).join(counts, group).join(has.withColumn("own", F.lit(1)), [key, "value"], "left")
+    return due.select(key, "value", (F.col("n") - F.coalesce("own", F.lit(0))).alias("votes")).filter(F.col("votes") >= least)
+
+
+def group_vote_counts(members: DataFrame, values: DataFrame, group: str, key: str = "query", value: str = "value") -> DataFrame:
+    """``n_true, n_pred, n_both`` of :func:`group_votes` with one vote, summed over the members that have a value, for each ``scope``.
+
+    ``values`` has a ``scope`` beside key and value. A value that two or more
+    members have is proposed to all of them, and one that a single member has to
+    all others, so counts by group are enough and no proposal is written out.
+    """
+    has = values.select("scope", key, F.col(value).alias("value")).distinct().join(members.select(key, group), key)
+    size = has.groupBy("scope", group).agg(F.count_distinct(key).alias("m"))
+    counts = has.groupBy("scope", group, "value").agg(F.count(F.lit(1)).alias("c"))
+    several = F.col("c") >= 2
+    return counts.join(size, ["scope", group]).groupBy("scope").agg(
+        F.sum("c").alias("n_true"), F.sum(F.when(several, F.col("m")).otherwise(F.col("m") - 1)).alias("n_pred"), F.sum(F.when(several, F.col("c")).otherwise(0)).alias("n_both")
+    )
+
+
 def overlap(truth: DataFrame, predicted: DataFrame, query: str = "query", value: str = "value") -> DataFrame:
     """Precision, recall, F1, Jaccard, hit, exactness and the number of differences of each query that has a truth.
 

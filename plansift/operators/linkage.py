@@ -82,38 +82,52 @@ def link_heads(files: DataFrame, items: DataFrame) -> DataFrame:
     return keys.join(own, "key").select("stem", "item").distinct()
 
 
-def pieces(text: Column) -> Column:
+#: What a part of a key is made of: letters and digits of all scripts, or of ASCII.
+ANY, ASCII = r"\p{L}\p{N}", "A-Za-z0-9"
+
+
+def pieces(text: Column, of: str = ANY) -> Column:
     """Alphanumeric runs and the separators between them, in turn, separators kept."""
-    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), 0)
+    return F.regexp_extract_all(text, F.lit(f"[{of}]+|[^{of}]+"), 0)
+
+
+def inner_run(key: Column, of: str = ANY) -> Column:
+    """A key without separators at its ends."""
+    return F.regexp_replace(key, f"^[^{of}]+|[^{of}]+$", "")
+
+
+def most_parts(keys: DataFrame, of: str = ANY) -> int:
+    """The number of alphanumeric parts of the longest key."""
+    return keys.agg(F.max(F.size(F.regexp_extract_all("key", F.lit(f"[{of}]+"), 0)))).first()[0] or 1
 
 
-def inside_keys(text: Column, most: int) -> Column:
+def inside_keys(text: Column, most: int, of: str = ANY) -> Column:
     """Runs of up to ``most`` alphanumeric parts with what stands between them: what a token between boundaries can equal."""
-    p = pieces(text)
+    p = pieces(text, of)
 
     def runs(own: Column) -> Column:
         n = F.size(own)
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.get(own, i - 1).rlike(r"^[\p{L}\p{N}]"))
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.get(own, i - 1).rlike(f"^[{of}]"))
         return F.flatten(F.transform(starts, lambda i: F.transform(F.filter(F.sequence(F.lit(0), F.lit(2 * most - 2), F.lit(2)), lambda k: i + k <= n), lambda k: F.array_join(F.slice(own, i, k + 1), ""))))
 
     return F.when(F.size(p) > 0, F.array_distinct(F.element_at(F.transform(F.array(p), runs), 1))).otherwise(F.array().cast("array<string>"))
 
 
-def link_inside(files: DataFrame, items: DataFrame, most: int = 8) -> DataFrame:
+def link_inside(files: DataFrame, items: DataFrame) -> DataFrame:
     """``stem, item`` where a key of six characters or more with a digit stands in the description between non-alphanumerics.
 
-    Keys that begin or end with a separator, or have more than ``most`` parts,
-    are not found this way. The
-    first occurrence of a key must be one between boundaries.
+    A key meets descriptions by its inner run, without separators at its ends,
+    among their runs of up to as many parts as the longest key has; the whole
+    key is then looked for. Its first occurrence must be one between boundaries.
     """
     keys = files.select("stem", F.explode(F.transform(candidate_keys(F.col("stem")), F.lower)).alias("key"))
-    keys = keys.filter((F.char_length("key") >= INSIDE_LENGTH) & F.col("key").rlike(r"\d")).distinct()
-    own = items.select("item", F.lower("description").alias("description")).withColumn("key", F.explode(inside_keys(F.col("description"), most)))
+    keys = keys.filter((F.char_length("key") >= INSIDE_LENGTH) & F.col("key").rlike(r"\d")).distinct().withColumn("inner", inner_run(F.col("key")))
+    own = items.select("item", F.lower("description").alias("description")).withColumn("inner", F.explode(inside_keys(F.col("description"), most_parts(keys))))
     at = F.expr("locate(key, description)")
     before = F.when(at > 1, F.col("description").substr(at - 1, F.lit(1))).otherwise("")
     after = F.col("description").substr(at + F.char_length("key"), F.lit(1))
-    free = ~before.rlike(r"[\p{L}\p{N}]") & ~after.rlike(r"[\p{L}\p{N}]")
-    return keys.join(own, "key").filter(free).select("stem", "item").distinct()
+    free = (at > 0) & ~before.rlike(r"[\p{L}\p{N}]") & ~after.rlike(r"[\p{L}\p{N}]")
+    return keys.join(own, "inner").filter(free).select("stem", "item").distinct()
 
 
 def link(files: DataFrame, items: DataFrame) -> DataFrame:
@@ -135,7 +149,7 @@ def family(linked: DataFrame, items: DataFrame, family_col: str) -> DataFrame:
 
 
 # Shapes of drawing numbers, and the least length of a second-pass key.
-SHAPES = (r"3A[UX][AD]\d+", r"D\d{4,}[-A-Z0-9]*", r"\d{6,}-DRW\d+")
+SHAPES = (r"[A-Z]{2,4}\d{6,}", r"D\d{4,}[-A-Z0-9]*", r"\d{6,}-DRW\d+")
 SECOND_LENGTH = 5
 
 
@@ -160,19 +174,21 @@ def stands_free(text: Column, needle: Column) -> Column:
     return F.regexp_like(text, quoted)
 
 
-def second_pass(files: DataFrame, edges: DataFrame, most: int = 5, parts: int = 8) -> DataFrame:
+def second_pass(files: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:
     """``stem, key, row_no``: rows whose description holds the longest key that any description holds, the first ``most``.
 
-    ``edges`` has ``row_no, parent_desc, component_desc``. Keys that are whole
-    alphanumeric runs meet descriptions by equality with their inner runs; a
-    key of equal length to the longest counts in the order of its text.
+    ``edges`` has ``row_no, parent_desc, component_desc``. Keys meet
+    descriptions by equality of their inner runs, with as many parts as the
+    longest key has, and must stand free in them; a key of equal length to the
+    longest counts in the order of its text.
     """
     from pyspark.sql import Window
 
     keys = files.select("stem", F.explode(second_keys(F.col("stem"))).alias("key"))
     both = edges.select("row_no", F.explode(F.array("parent_desc", "component_desc")).alias("d")).filter("d is not null")
-    inner = both.select("row_no", F.explode(inside_keys(F.col("d"), parts)).alias("key")).distinct()
-    met = keys.join(inner, "key")
+    keys = keys.withColumn("inner", inner_run(F.col("key"), ASCII))
+    runs = both.select("row_no", "d", F.explode(inside_keys(F.col("d"), most_parts(keys, ASCII), ASCII)).alias("inner"))
+    met = keys.join(runs, "inner").filter(stands_free(F.col("d"), F.col("key"))).select("stem", "key", "row_no").distinct()
     longest = met.groupBy("stem").agg(F.min(F.struct((-F.char_length("key")).alias("n"), "key")).alias("m")).select("stem", F.col("m.key").alias("key"))
     order = Window.partitionBy("stem").orderBy("row_no")
     return met.join(longest, ["stem", "key"]).withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= most).select("stem", "key", "row_no")

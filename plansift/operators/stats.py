@@ -79,7 +79,7 @@ def document_frequency(edges: DataFrame, parent: str, component: str) -> DataFra
 
 def best_per_group(rows: DataFrame, group: str, score: str, name: str) -> DataFrame:
     """The name of the best score of each group; of equal scores the lesser name."""
-    return rows.groupBy(group).agg(F.max_by(name, F.struct(F.col(score))).alias(name), F.max(score).alias(score))
+    return rows.groupBy(group).agg(F.min_by(name, F.struct((-F.col(score)).alias("s"), F.col(name).alias("n"))).alias(name), F.max(score).alias(score))
 
 
 def token_capture(docs: DataFrame, id_col: str, counts: DataFrame) -> DataFrame:

@@ -18,39 +18,37 @@ PROCESS_RULES: dict[str, str] = {
 SURFACE_RULES = (r"(?i)\bRAL[\s-]?\d{3,4}\b", r"(?i)surface treatment|paint system|coating|primer")
 WELD_SIZE = r"\b(?:[saz]\d{1,2})+\b"
 HOLE_FIT = r"\bH(?:1[0-8]|[1-9])\b"
-#: Words of the longest dictionary form that is looked up.
-LONGEST = 4
 
 
 def tag_units(units: DataFrame, vocabulary: DataFrame, id_col: str = "unit", text_col: str = "text", strict_parity: bool = False) -> DataFrame:
     """``unit, clause_no, clause, negated, category, anchor``: every tag of every clause, once.
 
-    Dictionary forms are looked up by an equi-join on runs of up to four words.
-    With ``strict_parity`` the text is light-cleaned first and only single
-    tokens are looked up, so forms of several words cannot match.
+    Dictionary forms are looked up by an equi-join on runs of as many words as
+    the longest form has. Runs and what rules find come out of one pass over
+    the clauses. With ``strict_parity`` the text is light-cleaned first and only
+    single tokens are looked up, so forms of several words cannot match.
     """
     text = light_text(F.col(text_col)) if strict_parity else F.col(text_col)
     parts = units.select(F.col(id_col).alias("unit"), F.posexplode(clauses(text)).alias("clause_no", "clause")).withColumn("negated", is_negated(F.col("clause")))
-    longest = 1 if strict_parity else LONGEST
+    longest = 1 if strict_parity else vocabulary.agg(F.max(F.size(F.split("form", r"\s+")))).first()[0] or 1
+    hit = lambda category, anchor: F.struct(category.alias("ruled"), anchor.alias("anchor"))
 
     def runs(t):
         n = F.size(t)
         each = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(F.filter(F.sequence(F.lit(1), F.lit(longest)), lambda k: i + k - 1 <= n), lambda k: F.array_join(F.slice(t, i, k), " ")))
-        return F.array_distinct(F.flatten(each))
-
-    words = tokens(F.replace(F.col("clause"), F.lit(","), F.lit(" ")))
-    looked = parts.withColumn("anchor", F.explode(F.element_at(F.transform(F.array(words), runs), 1)))
-    found = looked.join(small(vocabulary.select("form", "category").distinct()), F.upper(F.trim("anchor")) == F.col("form")).drop("form")
-    ruled = [parts.withColumn("anchor", F.explode(F.regexp_extract_all("clause", F.lit(WELD_SIZE), 0))).withColumn("category", F.lit("weld_quality"))]
-    ruled.append(parts.withColumn("anchor", F.explode(F.regexp_extract_all("clause", F.lit(HOLE_FIT), 0))).withColumn("category", F.lit("fits")))
-    ruled += [parts.withColumn("anchor", F.regexp_extract("clause", r, 0)).filter("anchor <> ''").withColumn("category", F.lit("surface")) for r in SURFACE_RULES]
-    hits = F.filter(F.array(*[F.when(F.col("clause").rlike(r), F.lit(n)) for n, r in PROCESS_RULES.items()]), lambda x: x.isNotNull())
-    ruled.append(parts.withColumn("anchor", F.explode(hits)).withColumn("category", F.lit("process")))
-    columns = ["unit", "clause_no", "clause", "negated", "category", "anchor"]
-    out = found.select(columns)
-    for r in ruled:
-        out = out.unionByName(r.select(columns))
-    return out.distinct()
+        return F.transform(F.array_distinct(F.flatten(each)), lambda a: hit(F.lit(None).cast("string"), a))
+
+    clause = F.col("clause")
+    words = tokens(F.replace(clause, F.lit(","), F.lit(" ")))
+    found = [F.element_at(F.transform(F.array(words), runs), 1)]
+    found += [F.transform(F.regexp_extract_all(clause, F.lit(WELD_SIZE), 0), lambda a: hit(F.lit("weld_quality"), a)), F.transform(F.regexp_extract_all(clause, F.lit(HOLE_FIT), 0), lambda a: hit(F.lit("fits"), a))]
+    once = [hit(F.lit("surface"), F.nullif(F.regexp_extract(clause, r, 0), F.lit(""))) for r in SURFACE_RULES]
+    once += [hit(F.lit("process"), F.when(clause.rlike(r), F.lit(n))) for n, r in PROCESS_RULES.items()]
+    found.append(F.filter(F.array(*once), lambda h: h["anchor"].isNotNull()))
+    hits = parts.select("*", F.inline(F.concat(*found)))
+    known = small(vocabulary.select(F.col("form").alias("__form"), F.col("category").alias("__category")).distinct())
+    looked = hits.join(known, F.col("ruled").isNull() & (F.upper(F.trim("anchor")) == F.col("__form")), "left")
+    return looked.select("unit", "clause_no", "clause", "negated", F.coalesce("ruled", "__category").alias("category"), "anchor").filter("category is not null").distinct()
 
 
 def tag_records(tags: DataFrame) -> DataFrame:

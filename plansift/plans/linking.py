@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from plansift.functions.text import token_kind, tokens, undouble, without_stop_words
 from plansift.operators import stats
-from plansift.operators.evaluate import overlap, summary, vote
+from plansift.operators.evaluate import group_vote_counts, group_votes, overlap, summary
 from plansift.operators.features import frequent_lines
-from plansift.operators.fields import part_type
+from plansift.operators.fields import PART_TYPES, part_type
 from plansift.operators.fingerprint import first_on_page
 from plansift.operators.linkage import family, link, link_heads, reach
 from plansift.operators.models import frequent_labels
@@ -207,10 +207,8 @@ def _line_sets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Supplier nations of each order: its own, and those of two or more other orders of its customer."""
     line = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").join(table(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     own = line.select(F.col("l_orderkey").alias("query"), F.col("s_nationkey").alias("value")).distinct()
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    a, b = o.withColumnRenamed("o_orderkey", "query"), o.withColumnRenamed("o_orderkey", "candidate")
-    pairs = a.join(b, "o_custkey").filter("query <> candidate").select("query", "candidate")
-    return own, vote(pairs, own, 2, key="query", value="value")
+    members = table(spark, sf, "orders").select(F.col("o_orderkey").alias("query"), "o_custkey")
+    return own, group_votes(members, own, "o_custkey", 2)
 
 
 _LINE_SETS = """
@@ -264,14 +262,10 @@ _GROUP_METRICS = _LINE_SETS + """
 def bom_nonunique_micro(spark: SparkSession, sf: str) -> DataFrame:
     """Micro precision, recall and F1 of proposed components, over all and over those in two orders or more."""
     own = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query"), F.col("l_partkey").alias("value")).distinct()
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    a, b = o.withColumnRenamed("o_orderkey", "query"), o.withColumnRenamed("o_orderkey", "candidate")
-    pred = vote(a.join(b, "o_custkey").filter("query <> candidate"), own, 1, key="query", value="value")
-    twice = own.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df >= 2").select("value")
-    out = None
-    for name, t, p in (("all", own, pred), ("recurring", own.join(twice, "value", "left_semi"), pred.join(twice, "value", "left_semi"))):
-        m = overlap(t, p).agg(F.sum("n_true").alias("n_true"), F.sum("n_pred").alias("n_pred"), F.sum("n_both").alias("n_both")).withColumn("scope", F.lit(name))
-        out = m if out is None else out.unionByName(m)
+    members = table(spark, sf, "orders").select(F.col("o_orderkey").alias("query"), "o_custkey")
+    df = own.groupBy("value").agg(F.count(F.lit(1)).alias("df"))
+    scoped = own.join(df, "value").withColumn("scope", F.explode(F.when(F.col("df") >= 2, F.array(F.lit("all"), F.lit("recurring"))).otherwise(F.array(F.lit("all")))))
+    out = group_vote_counts(members, scoped, "o_custkey")
     p, r = F.col("n_both") / F.col("n_pred"), F.col("n_both") / F.col("n_true")
     return out.select("scope", "n_true", "n_pred", "n_both", F.round(p, 6).alias("micro_precision"), F.round(r, 6).alias("micro_recall"), F.round(2 * F.col("n_both") / (F.col("n_true") + F.col("n_pred")), 6).alias("micro_f1"))
 
@@ -291,10 +285,8 @@ _BOM_NONUNIQUE_MICRO = """
 
 def vote_components(spark: SparkSession, sf: str) -> DataFrame:
     """Components that two or more other orders of a customer have, by votes."""
-    own = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("value")).distinct()
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    pairs = o.withColumnRenamed("o_orderkey", "query").join(o.withColumnRenamed("o_orderkey", "candidate"), "o_custkey").filter("query <> candidate")
-    return vote(pairs, own, 2)
+    own = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query"), F.col("l_partkey").alias("value")).distinct()
+    return group_votes(table(spark, sf, "orders").select(F.col("o_orderkey").alias("query"), "o_custkey"), own, "o_custkey", 2)
 
 
 _VOTE_COMPONENTS = """
@@ -399,8 +391,8 @@ def head_noun_type(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(part_type(F.col("p_name")).alias("part_type")).groupBy("part_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-_HEAD_NOUN_TYPE = r"""
-    SELECT nullif(lower(regexp_extract(p_name, '(?i)\b(bracket|support|flange|housing|cover|guide|frame|panel|plate|beam|shaft|spacer|washer|base|rail|ring|tube|pipe|bar|rod|clip|bushing|bush|pin|stud|angle|channel|profile|sheet|weldment|assembly|bolt|gear|widget|valve|nut)s?\b', 1)), '') AS part_type, count(*) AS n
+_HEAD_NOUN_TYPE = f"""
+    SELECT nullif(lower(regexp_extract(p_name, '(?i)\\b({'|'.join(PART_TYPES)})s?\\b', 1)), '') AS part_type, count(*) AS n
     FROM part GROUP BY 1
 """
 
@@ -479,7 +471,7 @@ def best_run_per_group(spark: SparkSession, sf: str) -> DataFrame:
 
 _BEST_RUN_PER_GROUP = """
     WITH m AS (SELECT lang, source, avg(n_chars) AS score FROM documents GROUP BY ALL)
-    SELECT lang, arg_max(source, score) AS source, round(max(score), 6) AS score FROM m GROUP BY lang
+    SELECT lang, source, round(score, 6) AS score FROM m QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, source) = 1
 """
 
 

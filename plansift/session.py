@@ -83,11 +83,8 @@ def spread(df: DataFrame) -> DataFrame:
     Small tables come in one file that one task would read and work on alone.
     A table of many files or row groups is never shuffled by this.
     """
-    held = df._jdf.queryExecution()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if "Exchange" in held.executedPlan().toString() or held.toRdd().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:

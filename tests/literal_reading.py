@@ -33,13 +33,13 @@ def _values(rows: list[tuple], names: str) -> str:
 UNITS = [
     (1, "Title: BEARING SUPPORT PLATE"), (2, "Weight kg 2.47"), (3, "Total weight 500 g"), (4, "Mass: 1,5 kg"), (5, "Weight 0.75 t"), (6, "Net weight 12"), (7, "Scale 1:5"), (8, "Scale: 1/10"),
     (9, "Material: S355J2 steel. See note 3"), (10, "Material changed to 60x60x8"), (11, "Coating: no coating"), (12, "Coating: RAL 7035 powder"), (13, "Gen. Tol. ISO 2768-m"), (14, "Gen Tol added"),
-    (15, "Based on 3AUA12345"), (16, "Based on"), (17, "just some prose about plates"), (18, "Specification: EN 10025 Scale 1:2"), (19, "Finish: galvanized"), (20, "Werkstoff: 1.4301"),
+    (15, "Based on NRA12345"), (16, "Based on"), (17, "just some prose about plates"), (18, "Specification: EN 10025 Scale 1:2"), (19, "Finish: galvanized"), (20, "Werkstoff: 1.4301"),
 ]
 # What the units say. A label's own full stop stays with the value (13), and a label alone is none (16).
 SAID = {
     1: ("part_name", "BEARING SUPPORT PLATE"), 2: ("weight", "2.47"), 3: ("weight", "0.5"), 4: ("weight", "1.5"), 5: ("weight", "750.0"), 6: ("weight", "12.0"), 7: ("scale", "1:5"), 8: ("scale", "1:10"),
     9: ("material", "S355J2 steel"), 10: ("material", None), 11: ("coating", None), 12: ("coating", "RAL 7035 powder"), 13: ("general_tolerance", ". ISO 2768-m"), 14: ("general_tolerance", None),
-    15: ("based_on", "3AUA12345"), 16: (None, None), 17: (None, None), 18: ("specification", "EN 10025"), 19: ("coating", "galvanized"), 20: ("material", "1.4301"),
+    15: ("based_on", "NRA12345"), 16: (None, None), 17: (None, None), 18: ("specification", "EN 10025"), 19: ("coating", "galvanized"), 20: ("material", "1.4301"),
 }
 
 
@@ -207,7 +207,7 @@ def material_classes(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("text", material_class(F.col("text")).alias("class"))
 
 
-_MATERIAL_CLASSES = "SELECT text, class FROM " + _values([("S355J2", "steel"), ("AISI 304", "stainless"), ("EN AW aluminium", "aluminium"), ("POM", "plastic"), ("HDG steel", "galvanized"), ("wood", None)], "text, class")
+_MATERIAL_CLASSES = "SELECT text, class FROM " + _values([("S355J2", "steel"), ("AISI 304", "stainless"), ("EN AW aluminium", "aluminium"), ("POM", "plastic"), ("HDG steel", "galv_steel"), ("wood", None)], "text, class")
 
 BOXES = [("d", 0, 0, 0, 0.0, 0.0, 10.0, 10.0), ("d", 0, 1, 0, 1.0, 1.0, 10.0, 10.0), ("d", 0, 2, 0, 20.0, 0.0, 30.0, 10.0), ("d", 0, 3, 0, 21.0, 1.0, 24.0, 4.0), ("d", 0, 4, 0, 26.0, 5.0, 29.0, 9.0), ("d", 1, 5, 0, 0.0, 0.0, 10.0, 10.0)]
 _BOX = "doc string, page int, box int, z int, x0 double, y0 double, x1 double, y1 double"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import literal_describing
+import literal_reading
 import pytest
 from compare import connect, differences
 
@@ -23,6 +25,16 @@ def test_runs(spark, small, name):
     assert len(QUERIES[name](spark, small).collect()) > 0
 
 
+LITERAL = [*literal_reading.PAIRS, *literal_describing.PAIRS]
+
+
+@pytest.mark.parametrize("k", range(len(LITERAL)), ids=[f.__name__ for f, _ in LITERAL])
+def test_literal_tables(spark, small, duck, k):
+    """Small tables with the answers written out, for cases that the standard tables have not."""
+    make, sql = LITERAL[k]
+    assert differences(make(spark, small), sql, duck) == ""
+
+
 def test_entry(spark, small):
     import __spark_entry__ as e
 

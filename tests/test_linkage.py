@@ -63,3 +63,21 @@ def test_fallback_only_for_those_without_a_head(spark):
     files = spark.createDataFrame([("AB-1234",), ("CD-9999",)], "stem string")
     items = spark.createDataFrame([(1, "AB-1234--x"), (2, "with ab-1234 inside"), (3, "with cd-9999 inside")], "item int, description string")
     assert {tuple(r) for r in link(files, items).collect()} == {("AB-1234", 1, "head"), ("CD-9999", 3, "inside")}
+
+
+def test_keys_of_many_parts_and_with_separators_at_their_ends(spark):
+    long = "a1-b2-c3-d4-e5-f6-g7-h8-i9-j10"
+    files = spark.createDataFrame([(f"{long}.pdf",), ("1234567-.pdf",), ("zz-99999-1.pdf",)], "stem string")
+    items = spark.createDataFrame([(1, f"see {long.upper()}, old"), (2, "plate 1234567- left"), (3, "plate 1234567 left")], "item int, description string")
+    got = {(r["stem"], r["item"]) for r in link_inside(files, items).collect()}
+    assert (f"{long}.pdf", 1) in got and ("1234567-.pdf", 2) in got
+    assert (f"{long}.pdf", 2) not in got
+
+
+def test_second_pass_has_no_cap_of_parts(spark):
+    from plansift.operators.linkage import second_pass
+
+    long = "-".join(f"K{k}" for k in range(12))
+    files = spark.createDataFrame([(f"{long}.pdf",)], "stem string")
+    edges = spark.createDataFrame([(1, f"of {long}", None), (2, None, "K0-K1")], "row_no int, parent_desc string, component_desc string")
+    assert [tuple(r) for r in second_pass(files, edges).collect()] == [(f"{long}.pdf", long, 1)]

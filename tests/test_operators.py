@@ -169,3 +169,62 @@ def test_registry():
     with pytest.raises(ValueError, match="there is"):
         registry.register_metric("none", None)
     assert ALPHA_WORDS.high == 1
+
+
+def test_buckets_order(spark):
+    from pyspark.sql import functions as F
+
+    from plansift.operators.fields import buckets
+
+    u = spark.createDataFrame([("Title: all rights reserved", False), ("approved by X", False), ("Scale 1:5", True)], "text string, is_bom boolean")
+    got = lambda first: [r["bucket"] for r in buckets(u, F.lit(False), named_first=first).collect()]
+    assert got(True) == ["classified", "debug", "bom"] and got(False) == ["debug", "debug", "bom"]
+
+
+def test_ties_go_to_the_lesser_name(spark):
+    from plansift.operators.stats import best_per_group
+
+    d = spark.createDataFrame([("g", 2.0, "b"), ("g", 2.0, "a"), ("g", 1.0, "0"), ("h", -1.0, "z"), ("h", -1.0, "y")], "g string, s double, n string")
+    for rows in (d, d.orderBy("n"), d.repartition(3)):
+        assert sorted((r["g"], r["n"]) for r in best_per_group(rows, "g", "s", "n").collect()) == [("g", "a"), ("h", "y")]
+
+
+def test_vectors_that_are_missing_or_of_another_length(spark):
+    from plansift.operators.retrieval import knn
+
+    d = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.6, 0.8]), (4, [0.0, 1.0])], "id bigint, v array<double>")
+    assert {(r["query"], r["candidate"]) for r in knn(d, d, 1, "id", "v").collect()} == {(1, 3), (3, 4), (4, 3)}
+    with pytest.raises(Exception, match="unlike lengths"):
+        knn(d.union(spark.createDataFrame([(5, [1.0])], d.schema)), d, 1, "id", "v").collect()
+
+
+def test_group_votes_are_those_of_all_pairs(spark):
+    import random
+
+    from plansift.operators.evaluate import group_vote_counts, group_votes, overlap, vote
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    members = spark.createDataFrame([(q, q % 7 if q < 60 else 0) for q in range(80)], "query bigint, g bigint")
+    own = spark.createDataFrame(sorted({(r.randrange(75), r.randrange(9)) for _ in range(160)}), "query bigint, value bigint")
+    pairs = members.join(members.withColumnRenamed("query", "candidate"), "g").filter("query <> candidate")
+    for least in (1, 2):
+        want = vote(pairs, own, least, key="query")
+        assert sorted(map(tuple, group_votes(members, own, "g", least).collect())) == sorted(map(tuple, want.collect()))
+    a = overlap(own, vote(pairs, own, 1, key="query")).agg(F.sum("n_true"), F.sum("n_pred"), F.sum("n_both")).first()
+    b = group_vote_counts(members, own.withColumn("scope", F.lit("all")), "g").first()
+    assert tuple(a) == (b["n_true"], b["n_pred"], b["n_both"])
+
+
+def test_bom_row_columns(spark):
+    from plansift.operators.layout import bom_row
+    from pyspark.sql import functions as F
+
+    texts = {
+        "12 PLATE WIDE EN10029-PL10 100 200 1234567 X-DRW1 2.5": ("12", "", "PLATE WIDE", "EN10029-PL10", "100", "200", "1234567", "X-DRW1", "2.5"),
+        "3 BOLT 7654321": ("3", "", "BOLT", "", "", "", "7654321", "", ""), "4 S355 1 2 3": ("4", "", "", "S355", "1", "2", "", "", "3"), "5": ("5", "", "", "", "", "", "", "", ""),
+        "6 A 1234567 B 7654321 HDG": ("6", "", "A 1234567 B", "HDG", "", "", "7654321", "", ""),
+    }
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in d.select("t", bom_row(F.col("t")).alias("r")).collect():
+        assert tuple(r["r"]) == texts[r["t"]], r["t"]
