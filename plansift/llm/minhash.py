@@ -152,46 +152,57 @@ def with_next(rows: DataFrame, id_col: str, tie_col: str, ranges: int | None = N
     parts = ranges or max(1, min(MOST_RANGES, max(-(-n // range_rows), min(shuffle, n // 100))))
     shares = [k / parts for k in range(1, parts)] or [0.5]
     found = rows.agg(F.percentile_approx(key, shares, 10 * parts)).first()[0] or []
-    cuts = {(c, GREATEST) for c in found}
     # an id at several quantiles in a row has more rows than a range
     hot = sorted({a for a, b in zip(found, found[1:], strict=False) if a == b}) if n > range_rows else []
-    whole = rows.withColumn("__copies", F.lit(1).cast("long"))
-    if hot:
-        own = F.array_contains(F.array(*[F.lit(h).cast("bigint") for h in hot]), key)
-        rest = [c for c in fields if c not in (id_col, tie_col)]
-        alike = rows.filter(own).groupBy(id_col, tie_col).agg(*[F.first(c).alias(c) for c in rest], F.count(F.lit(1)).alias("__copies"))
-        for r in alike.groupBy(key.alias("k")).agg(F.percentile_approx(tie, shares, 10 * parts).alias("at")).collect():
-            cuts |= {(r["k"], LEAST), *((r["k"], h) for h in r["at"])}
-        whole = rows.filter(~own).withColumn("__copies", F.lit(1).cast("long")).unionByName(alike)
-    ranged = whole.withColumns({"__key": key, "__tie": tie}).withColumn("__range", _range_of(F.col("__key"), F.col("__tie"), sorted(cuts)))
-    # the greatest row of each range; these few ids go to the driver and back
-    tops = sorted((r["__range"], r["top"]["k"], r["top"]["t"]) for r in ranged.groupBy("__range").agg(F.max(F.struct(F.col("__key").alias("k"), F.col("__tie").alias("t"))).alias("top")).collect())
+    if not hot:
+        return _follow(rows, fields, key, tie, _range_of(key, None, sorted({(c, GREATEST) for c in found})))
+    own = F.array_contains(F.array(*[F.lit(h).cast("bigint") for h in hot]), key)
+    rest = [c for c in fields if c not in (id_col, tie_col)]
+    alike = rows.filter(own).groupBy(id_col, tie_col).agg(*[F.first(c).alias(c) for c in rest], F.count(F.lit(1)).alias("__copies"))
+    cuts = {(c, GREATEST) for c in found}
+    for r in alike.groupBy(key.alias("k")).agg(F.percentile_approx(tie, shares, 10 * parts).alias("at")).collect():
+        cuts |= {(r["k"], LEAST), *((r["k"], h) for h in r["at"])}
+    whole = rows.filter(~own).withColumn("__copies", F.lit(1).cast("long")).unionByName(alike)
+    after = _follow(whole, fields, key, tie, _range_of(key, tie, sorted(cuts)), True)
+    # of rows that are alike the last alone has another one after it
+    after = after.withColumn("__left", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    return after.select(*fields, F.when(F.col("__left") == F.col("__copies"), F.col("next")).otherwise(F.struct(*fields)).alias("next"))
+
+
+def _follow(rows: DataFrame, fields: list[str], key: Column, tie: Column, range_: Column, by_tie: bool = False) -> DataFrame:
+    """Add ``next``, a struct of the fields, by a window over each range and the greatest row of the one below it.
+
+    The greatest row of each range, a few numbers, goes to the driver and back.
+    Where no id is in several ranges its number is enough (``by_tie`` false):
+    all rows that have it go along, and the first of them is the next one.
+    """
+    spark = rows.sparkSession
+    ranged = rows.withColumn("__range", range_)
+    place = F.struct(key.alias("k"), tie.alias("t")) if by_tie else key
+    tops = sorted((r["__range"], *(r["top"] if by_tie else (r["top"], 0))) for r in ranged.groupBy("__range").agg(F.max(place).alias("top")).collect())
     guests = spark.createDataFrame([(r, k, t, tops[(i + 1) % len(tops)][0]) for i, (r, k, t) in enumerate(tops)], "__range int, __top bigint, __top_tie bigint, __above int")
+    goes = (key == F.col("__top")) & (tie == F.col("__top_tie")) if by_tie else key == F.col("__top")
     none = F.lit(None).cast("int")
     hosted = (
-        ranged.join(F.broadcast(guests), "__range", "left")
-        .withColumn("__in", F.explode(F.when((F.col("__key") == F.col("__top")) & (F.col("__tie") == F.col("__top_tie")), F.array(none, F.col("__above"))).otherwise(F.array(none))))
+        ranged.join(F.broadcast(guests if by_tie else guests.drop("__top_tie")), "__range", "left")
+        .withColumn("__in", F.explode(F.when(goes, F.array(none, F.col("__above"))).otherwise(F.array(none))))
         .withColumns({"__guest": F.col("__in").isNotNull(), "__in": F.coalesce("__in", "__range")})
     )
-    w = Window.partitionBy("__in").orderBy("__guest", F.col("__key").desc(), F.col("__tie").desc())
-    after = hosted.withColumn("next", F.lead(F.struct(*fields)).over(w)).filter("not __guest")
-    if not hot:
-        return after.select(*fields, "next")
-    # of rows that are alike the last alone has another one after it
-    after = after.withColumn("__left", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return after.select(*fields, F.when(F.col("__left") == F.col("__copies"), F.col("next")).otherwise(F.struct(*fields)).alias("next"))
+    w = Window.partitionBy("__in").orderBy("__guest", key.desc(), tie.desc())
+    return hosted.withColumn("next", F.lead(F.struct(*fields)).over(w)).filter("not __guest").select(*rows.columns, "next")
 
 
-def _range_of(key: Column, tie: Column, cuts: list[tuple[int, int]]) -> Column:
-    """How many of the sorted cuts are below the key and its tie, by binary search."""
+def _range_of(key: Column, tie: Column | None, cuts: list[tuple[int, int]]) -> Column:
+    """How many of the sorted cuts are below the key (and its tie, where ids are cut by it), by binary search."""
     if not cuts:
         return F.lit(0)
     keys, ties = (F.array(*[F.lit(c[k]).cast("bigint") for c in cuts]) for k in (0, 1))
     steps = [1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)]
 
     def step(lo: Column, s: Column) -> Column:
-        k, t = F.get(keys, lo + s - 1), F.get(ties, lo + s - 1)
-        return lo + F.when((lo + s <= len(cuts)) & ((key > k) | ((key == k) & (tie > t))), s).otherwise(0)
+        k = F.get(keys, lo + s - 1)
+        above = key > k if tie is None else (key > k) | ((key == k) & (tie > F.get(ties, lo + s - 1)))
+        return lo + F.when((lo + s <= len(cuts)) & above, s).otherwise(0)
 
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
 

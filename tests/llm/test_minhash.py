@@ -108,3 +108,42 @@ def test_query_is_native(spark, small):
 def test_number_of_bins(spark, bits):
     f = spark.createDataFrame([("a b c d e f g",)], "t string").select(fingerprint(F.col("t"), 5, bits).alias("f")).first()["f"]
     assert len(f) == (1 << bits) * 4 // 64
+
+
+def slow_fingerprint(text):
+    """The fingerprint as digits, step by step: bins of the shingles' hashes, probes for empty ones, low digits."""
+    import re
+
+    import xxhash
+
+    def mixed(*parts):
+        h = 42
+        for p in parts:
+            raw = p if isinstance(p, bytes) else p.to_bytes(8, "little") if p >= 1 << 31 else p.to_bytes(4, "little")
+            h = xxhash.xxh64_intdigest(raw, h)
+        return h
+
+    w = [x.encode() for x in re.split(r"[\x20\x09-\x0D]+", text.strip(" \t\n\x0b\f\r"))]
+    hashes = [mixed(*w[i : i + 5]) for i in range(len(w) - 4)] or [mixed(b" ".join(w))]
+    bins = [None] * 256
+    for h in hashes:
+        at = ((h >> 56) + 128) % 256  # signed numbers: the upper half of the bins comes first
+        if bins[at] is None or h < bins[at]:
+            bins[at] = h
+    digits = ""
+    for b, own in enumerate(bins):
+        if own is None:
+            probe = mixed(b"probe", b)
+            start, step = probe & 255, (probe >> 32) & 255 | 1
+            found = next(bins[(start + step * t) % 256] for t in range(256) if bins[(start + step * t) % 256] is not None)
+            own = xxhash.xxh64_intdigest(b.to_bytes(4, "little"), xxhash.xxh64_intdigest(found.to_bytes(8, "little"), 42))
+        digits += f"{own & 15:x}"
+    return digits
+
+
+def test_fingerprints_step_by_step(spark):
+    r = random.Random(12)
+    texts = ["", " \t", "one", "a b c d", "a b c d e", "ünï çödé 😀 x y z " * 3, "w " * 700] + [" ".join(r.choice("abcdefgh") * r.randrange(1, 4) for _ in range(r.randrange(1, 900))) for _ in range(40)]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for x in d.select("i", as_text(fingerprint(F.col("t"))).alias("f")).collect():
+        assert x["f"] == slow_fingerprint(texts[x["i"]]), texts[x["i"]][:60]
