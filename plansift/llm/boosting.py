@@ -1,7 +1,7 @@
 """Histogram gradient-boosted trees for two classes, in numpy.
 
 Trees are complete binary trees of one depth, flattened into arrays, so a
-batch of rows goes down all trees by array indexing alone. Training is meant
+batch of rows goes down all trees at once, by array indexing alone. Training is meant
 for a bounded sample on the driver; the arrays are small and go to the tasks.
 """
 
@@ -12,6 +12,10 @@ from dataclasses import dataclass
 import numpy as np
 
 
+#: Rows that go down the trees at a time.
+ROWS = 512
+
+
 @dataclass
 class Trees:
     """``feature`` and ``cut`` of inner nodes by tree, ``leaf`` values, and the starting log-odds."""
@@ -28,12 +32,17 @@ class Trees:
         out = np.full(len(x), self.start)
         if not len(x):
             return out
-        rows = np.arange(len(x))
-        for feature, cut, leaf in zip(self.feature, self.cut, self.leaf, strict=True):
-            node = np.zeros(len(x), dtype=np.int64)
+        trees, inner = self.feature.shape
+        feature, cut, leaf = self.feature.ravel(), self.cut.ravel(), self.leaf.ravel()
+        first, first_leaf = np.arange(trees) * inner, np.arange(trees) * (1 << self.depth)
+        for at in range(0, len(x), ROWS):
+            part = x[at : at + ROWS]
+            own = np.arange(len(part))[:, None]
+            node = np.zeros((len(part), trees), dtype=np.int64)  # where each row is in each tree
             for _ in range(self.depth):
-                node = 2 * node + 1 + (x[rows, feature[node]] > cut[node])
-            out += leaf[node - ((1 << self.depth) - 1)]
+                place = first + node
+                node = 2 * node + 1 + (part[own, feature[place]] > cut[place])
+            out[at : at + ROWS] += leaf[first_leaf + node - inner].sum(axis=1)
         return out
 
     def probability(self, x: np.ndarray) -> np.ndarray:
@@ -131,6 +140,6 @@ def isotonic(margin: np.ndarray, y: np.ndarray, prior: float = 1.0) -> tuple[np.
 
 
 def calibrated(margin: np.ndarray, knots: tuple[np.ndarray, np.ndarray], keep: float = 0.02) -> np.ndarray:
-    """Calibrated scores; a small part of the raw probability keeps rows of one block in order."""
+    """Calibrated scores: the isotonic share, and with a weight of ``keep`` the raw probability, which keeps rows of one block in order."""
     raw = 1.0 / (1.0 + np.exp(-margin))
     return (1 - keep) * np.interp(margin, *knots) + keep * raw

@@ -134,7 +134,9 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = KEEP_FROM, **
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = KEEP_FROM, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """``docs`` without what scores below the threshold, all columns as they were.
 
-    The score is computed beside the row, so nothing is shuffled or joined.
+    The score is computed beside the row, so nothing is shuffled or joined: null
+    texts are scored as empty ones, rows that repeat an id each, an empty table
+    stays empty and columns of any name pass through.
     """
     trees, knots = fit_quality(docs, labels, id_col=id_col, text_col=text_col, **params)
 

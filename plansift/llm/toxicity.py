@@ -4,8 +4,10 @@ The features are densities of words of a lexicon, how near they stand to words
 of the second person, shares of capitals and punctuation and of obfuscated
 words. The lexicon has a small fixed part; the larger part is learnt: words and
 word beginnings that stand in toxic training documents far more often than in
-others, counted over all labelled training documents. Scores are calibrated by
-isotonic regression on margins out of fold.
+others, counted over the same labelled training documents as the trees are
+fitted on, a bounded sample (:data:`plansift.llm.labelled.SAMPLE`). Scores are
+calibrated by isotonic regression on margins out of fold; the lexicon is chosen
+once, on all folds. Two hundredths of a score are the raw probability.
 
 A training document's own counts are taken from the evidence of its words
 before its features are made, so that the trees learn to trust the lexicon as
