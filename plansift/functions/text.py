@@ -12,9 +12,9 @@ ZERO_RUN = r"^[OoＯ0oº]+$"
 SYMBOLS_ONLY = r"^[^\p{L}\p{N}_]+$"
 TOLERANCE = r"^[+\-]\d+(?:[.,]\d+)?$"
 DIMENSION = r"^[R⌀ØøΦϕ(]?\s?\d+(?:[.,]\d+)?(?:\s?[x×]\s?\d+)?\)?(?:mm|MM|pcs|PCS|°)?$"
-#: Where a run-on sentence is split, and what makes its clause a negated one.
-CLAUSE_START = r"(?i)(?=\bNo\b)|(?=\bNot\b)|(?=NOTE!)|(?=\bSee\b)|(?=Surface treatment)"
-NEGATED = r"(?i)^(no|not|without)\b"
+#: Where a run-on sentence is split, and what makes its clause a negated one; words end where letters of any script do.
+CLAUSE_START = r"(?iU)(?=\bNo\b)|(?=\bNot\b)|(?=NOTE!)|(?=\bSee\b)|(?=Surface treatment)"
+NEGATED = r"(?iU)^(no|not|without)\b"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

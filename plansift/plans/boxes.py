@@ -16,7 +16,7 @@ from plansift.operators.evaluate import ranking
 from plansift.operators.graph import connected_components
 from plansift.operators.linkage import second_pass
 from plansift.operators.stats import flat_diff
-from plansift.session import table
+from plansift.session import settle, table
 
 # a box of each event, as both engines read it
 _X0, _Y0, _W, _H = "event_id * 37 % 101", "event_id * 61 % 97", "3 + event_id % 17", "2 + event_id % 13"
@@ -158,7 +158,7 @@ def _table_cells(spark: SparkSession, sf: str) -> DataFrame:
     out = cells[0]
     for c in cells[1:]:
         out = out.unionByName(c)
-    return out
+    return settle(out, "cells")  # read several times below
 
 
 def grid_rows(spark: SparkSession, sf: str) -> DataFrame:

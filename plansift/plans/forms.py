@@ -221,9 +221,23 @@ def clause_negation(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", "no", F.md5("clause").alias("clause_md5"), is_negated(F.col("clause")).alias("negated"))
 
 
+#: DuckDB's word boundaries know ASCII alone: letters beyond it are set between letters while clauses are looked for.
+_SPLIT_AT = r"(?i)(\bNot\b|\bNo\b|NOTE!|\bSee\b|Surface treatment)"
+
+
+def _clauses_sql(text: str) -> str:
+    """SQL for the clauses of a text, each with its letters beyond ASCII still set apart."""
+    apart = rf"regexp_replace({text}, '([^\x00-\x7F])', 'qzxj\1qzxj', 'g')"
+    return rf"list_filter(list_transform(string_split(regexp_replace({apart}, '{_SPLIT_AT}', chr(1) || '\1', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+def _joined_sql(clause: str) -> str:
+    return rf"regexp_replace({clause}, 'qzxj([^\x00-\x7F])qzxj', '\1', 'g')"
+
+
 _CLAUSE_NEGATION = rf"""
-    WITH c AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '(?i)(\bNot\b|\bNo\b|NOTE!|\bSee\b|Surface treatment)', chr(1) || '\1', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS cs FROM {_NOTES})
-    SELECT doc_id, i - 1 AS no, md5(cs[i]) AS clause_md5, regexp_matches(cs[i], '(?i)^(no|not|without)\b') AS negated FROM (SELECT doc_id, cs, unnest(range(1, len(cs) + 1)) AS i FROM c)
+    WITH c AS (SELECT doc_id, {_clauses_sql('text')} AS cs FROM {_NOTES})
+    SELECT doc_id, i - 1 AS no, md5({_joined_sql('cs[i]')}) AS clause_md5, regexp_matches(cs[i], '(?i)^(no|not|without)\b') AS negated FROM (SELECT doc_id, cs, unnest(range(1, len(cs) + 1)) AS i FROM c)
 """
 
 _LINES = "concat('Order No: ', doc_id, '    see back', chr(10), 'Scale:  1:', doc_id % 20, chr(10), coalesce(text, ''), chr(10), 'Order No: 999', chr(10), '  RAL: RAL ', 7000 + doc_id % 50, ', ral-9005')"
@@ -307,9 +321,9 @@ def tag_dictionary(spark: SparkSession, sf: str) -> DataFrame:
 _FORM_ROWS = ", ".join("('" + f[0].replace("'", "''") + "', '" + {"corrosion": "surface", "surface_texture": "surface"}.get(f[1], f[1]) + "')" for f in forms())
 _TAG_DICTIONARY = rf"""
     WITH v AS (SELECT DISTINCT form, category FROM (VALUES {_FORM_ROWS}) AS f(form, category) WHERE category NOT IN ('weld_quality', 'fits')),
-    c AS (SELECT doc_id AS unit, unnest(list_filter(list_transform(string_split(regexp_replace(coalesce(text, '') || ' No hot dip galvanized ' || CASE WHEN doc_id % 2 = 0 THEN 'welded' ELSE 'flatness' END,
-              '(?i)(\bNot\b|\bNo\b|NOTE!|\bSee\b|Surface treatment)', chr(1) || '\1', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')) AS clause FROM documents),
-    t AS (SELECT unit, clause, regexp_matches(clause, '(?i)^(no|not|without)\b') AS negated, list_filter(string_split_regex(replace(clause, ',', ' '), '\s+'), lambda x: x <> '') AS w FROM c),
+    k AS (SELECT doc_id AS unit, unnest({_clauses_sql("coalesce(text, '') || ' No hot dip galvanized ' || CASE WHEN doc_id % 2 = 0 THEN 'welded' ELSE 'flatness' END")}) AS own FROM documents),
+    c AS (SELECT unit, regexp_matches(own, '(?i)^(no|not|without)\b') AS negated, {_joined_sql('own')} AS clause FROM k),
+    t AS (SELECT unit, clause, negated, list_filter(string_split_regex(replace(clause, ',', ' '), '\s+'), lambda x: x <> '') AS w FROM c),
     g AS (SELECT DISTINCT unit, negated, unnest(list_transform(range(1, len(w) - n + 2), lambda i: upper(array_to_string(w[i:i + n - 1], ' ')))) AS anchor FROM t, (SELECT unnest([1, 2, 3, 4]) AS n)),
     s AS (SELECT DISTINCT unit, negated, upper(unnest(list_filter([regexp_extract(clause, '(?i)\bRAL[\s-]?\d{{3,4}}\b', 0), regexp_extract(clause, '(?i)surface treatment|paint system|coating|primer', 0)], lambda x: x <> ''))) AS anchor FROM t),
     d AS (SELECT unit, negated, category, anchor FROM g JOIN v ON anchor = form UNION SELECT unit, negated, 'surface', anchor FROM s)
