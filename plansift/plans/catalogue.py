@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plansift.plans import boxes, describing, forms, linking, searching
+from plansift.plans import boxes, describing, forms, linking, searching, stores
 
-_PAIRS = [*linking.PAIRS, *searching.PAIRS, *forms.PAIRS, *boxes.PAIRS, *describing.PAIRS]
+_PAIRS = [*linking.PAIRS, *searching.PAIRS, *forms.PAIRS, *boxes.PAIRS, *describing.PAIRS, *stores.PAIRS]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f, _ in _PAIRS}
 ORACLES: dict[str, str] = {f.__name__: sql for f, sql in _PAIRS if sql}

@@ -137,3 +137,31 @@ def preprocessed(spark: SparkSession, path: str) -> DataFrame:
 def cache_key(name):
     """The name under which the text of a file is kept: the first half of its SHA-1."""
     return F.substring(F.sha1(name), 1, 16)
+
+
+def run_file(spark: SparkSession, path: str) -> DataFrame:
+    """``query, candidate, rank, sim`` of ranked runs: objects of a query and its candidates in order, one to a line, with their scores."""
+    raw = spark.read.schema("query string, candidates array<string>, scores array<double>").json(path)
+    each = raw.select("query", "scores", F.posexplode("candidates").alias("pos", "candidate"))
+    return each.select("query", "candidate", (F.col("pos") + 1).alias("rank"), F.get("scores", F.col("pos")).alias("sim"))
+
+
+def judgment_key(spark: SparkSession, path: str) -> DataFrame:
+    """``query, letter, stem`` of the key of a judged set: for each query the files behind its letters."""
+    raw = spark.read.schema("query string, letters map<string,string>").json(path)
+    return raw.select("query", F.explode("letters").alias("letter", "stem"))
+
+
+def split_file(spark: SparkSession, path: str) -> DataFrame:
+    """``stem, part`` of a split kept as lists of stems under ``train``, ``val`` and ``test``."""
+    raw = spark.read.schema("train array<string>, val array<string>, test array<string>").option("multiLine", True).json(path)
+    lists = F.array(*[F.struct(F.lit(p).alias("part"), F.col(p).alias("stems")) for p in ("train", "val", "test")])
+    return raw.select(F.inline(lists)).select(F.explode("stems").alias("stem"), "part")
+
+
+def vector_index(spark: SparkSession, path: str) -> DataFrame:
+    """``stem, view, vector`` of an index kept as vectors and a manifest by row; vectors are brought to length 1."""
+    vectors, manifest = spark.read.parquet(f"{path}/vectors"), spark.read.schema("row long, stem string, view int").json(f"{path}/manifest")
+    v = F.transform("vector", lambda x: x.cast("double"))
+    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return manifest.join(vectors, "row").select("stem", "view", F.transform(v, lambda x: x / F.greatest(length, F.lit(1e-12))).alias("vector"))
