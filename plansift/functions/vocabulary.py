@@ -75,6 +75,17 @@ CODES: dict[str, str] = {
     "efficiency": r"\bIE[1-5]\b",
     "corrosivity": r"(?i)\bcorrosivity\s+C[1-5][MIX]?\b",
     "coating_thickness": r"\b\d{2,4}\s?(?:µm|um)\b",
+    "ball_bearing": r"\b6[0-4]\d{2}(?:-?(?:2RS1?|2Z|ZZ|RS|Z))\b",
+    "roller_bearing": r"\b(?:N[UJP]P?|NN|QJ|HK|NK[IS]?)\s?\d{2,5}\b",
+    "spherical_bearing": r"\b2[23][0-9]\d{2}\s?(?:CC|E|CA|MB)\b",
+    "aluminium_alloy": r"(?i)\bEN\s?AW-?\s?\d{4}\b",
+    "cast_iron": r"\b(?:EN-)?GJ[LSM]-?\d{3}\b",
+    "plastic": r"\b(?:POM(?:-[CH])?|PA\s?(?:6|66|12)|PTFE|PE-?(?:HD|UHMW)|PEEK)\b",
+    "crane_group": r"(?i)\bFEM\s?(?:1A[mM]|1[BC]m|[1-5]m)\b",
+    "mounting": r"\bIM\s?[BV]\s?\d{1,2}\b",
+    "duty": r"\bduty\s+S(?:10|[1-9])\b",
+    "paint_system": r"(?i)\bISO\s?12944-?\d?/?\s?C[1-5](?:-?[MIX])?\b",
+    "zinc_coating": r"\b(?:Fe/Zn|DX5\d?D?\+Z)\s?\d{1,3}\b",
 }
 
 

@@ -63,6 +63,43 @@ def quartiles_by_index(rows: DataFrame, value: str, groups: list[str] | None = N
     return upto.groupBy(*own).agg(*picks, F.max("__all").alias("n"))
 
 
+# Classes of symbols and notes, each with its patterns; those of colours and materials mind the case.
+SYMBOL_CLASSES: dict[str, list[str]] = {
+    "welding_iso2553": [r"ISO[\s\-]*2553"],
+    "surface_finish": [r"ISO[\s\-]*1302", r"ISO[\s\-]*21920", r"\bR[az]\s*[<=≤]?\s*\d+(\.\d+)?\b", r"\bSa\s*2[½\.5]?\b", r"Pintakäsittely", r"Karheus", r"Roughness"],
+    "iso_2768": [r"ISO[\s\-]*2768", r"\b2768-[mfvcMFVC]\b"],
+    "gd_t": [r"[⌖⌭⊥∥▱◎⌒∠]", r"\bDatum\b", r"\bGD&T\b", r"\bPosition tol\b", r"\bFlatness\b", r"\bParallelism\b", r"\bPerpendicularity\b"],
+    "ral_color": [r"\bRAL\s*\d{4}\b"],
+    "material_grade": [
+        r"\bS\s*2[35]5\b", r"\bS\s*355\b", r"\bEN\s*10025\b", r"\bAISI\s*\d{3}\b", r"\b1\.\d{4}\b", r"\bDX\d{2,3}D[+\-][A-Z0-9\-+]+", r"\bHDG\s*STEEL", r"\bGalvani[sz]ed\b", r"\bStainless\s*Steel",
+        r"\bAluminium\b", r"\bAluminum\b", r"Material:", r"Materiaali:",
+    ],
+    "diameter_signs": [r"[⌀Øø]", r"\bDIA\b", r"\bDiameter\b", r"\bD\d{2,3}\b(?=[\s,\-\.])"],
+    "finnish_present": [r"Pintakäsittely", r"Värisävy", r"Mittakaava", r"Karheus", r"Materiaali"],
+}
+MIND_CASE = {"ral_color", "material_grade"}
+
+
+def symbol_hits(text: Column) -> list[Column]:
+    """A column for each class of symbols: how often its patterns stand in a text, each counted by itself."""
+    def count(name: str) -> Column:
+        each = [F.regexp_count(text, F.lit(p if name in MIND_CASE else f"(?i){p}")) for p in SYMBOL_CLASSES[name]]
+        total = each[0]
+        for e in each[1:]:
+            total = total + e
+        return total
+
+    return [count(n).alias(n) for n in SYMBOL_CLASSES]
+
+
+def common_keys(tables: list[DataFrame], key: str) -> DataFrame:
+    """Keys that every one of the tables has."""
+    out = tables[0].select(key)
+    for t in tables[1:]:
+        out = out.intersect(t.select(key))
+    return out.distinct()
+
+
 def pattern_hits(docs: DataFrame, text: str, patterns: dict[str, str], groups: list[str]) -> DataFrame:
     """Documents with a hit and all hits, for each pattern and group, in one pass over the texts."""
     counted = docs.select(*groups, *[F.coalesce(F.regexp_count(F.col(text), F.lit(p)), F.lit(0)).alias(n) for n, p in patterns.items()])
@@ -83,9 +120,9 @@ def best_per_group(rows: DataFrame, group: str, score: str, name: str) -> DataFr
 
 
 def token_capture(docs: DataFrame, id_col: str, counts: DataFrame) -> DataFrame:
-    """Tokens per document: least, mean, most, and the documents without any; from ``id, term, tf``."""
+    """Tokens per document: least, median, mean, most, and the documents without any; from ``id, term, tf``."""
     per = docs.select(F.col(id_col).alias("id")).join(counts.groupBy("id").agg(F.sum("tf").alias("tokens")), "id", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
-    return per.agg(F.min("tokens").alias("least"), F.avg("tokens").alias("mean"), F.max("tokens").alias("most"), F.sum((F.col("tokens") == 0).cast("int")).alias("empty"))
+    return per.agg(F.min("tokens").alias("least"), F.avg("tokens").alias("mean"), F.median("tokens").alias("median"), F.max("tokens").alias("most"), F.sum((F.col("tokens") == 0).cast("int")).alias("empty"))
 
 
 def flat_diff(a: DataFrame, b: DataFrame, path: str = "path", value: str = "value") -> DataFrame:

@@ -173,7 +173,7 @@ _FINGERPRINT_TEXT = f"""
 
 #: Every document with references and codes written after its own text; both engines read the expression.
 _NOTED = (
-    "concat(coalesce(text, ''), ' See ISO ', 1000 + doc_id % 90, '-mK, DIN ', 100 + doc_id % 7, ' No paint on M', 4 + doc_id % 20, 'x1,5 threads. Ra ', doc_id % 9, ',2 S355J2+N IP5', doc_id % 6, ' iso 5817-C H7/g6 RAL ', 7000 + doc_id % 50, ' shot blasted')"
+    "concat(coalesce(text, ''), ' See ISO ', 1000 + doc_id % 90, '-mK, DIN ', 100 + doc_id % 7, ' No paint on M', 4 + doc_id % 20, 'x1,5 threads. Ra ', doc_id % 9, ',2 S355J2+N IP5', doc_id % 6, ' iso 5817-C H7/g6 RAL ', 7000 + doc_id % 50, ' shot blasted 62', 10 + doc_id % 8, '-2RS NU', 200 + doc_id % 9, ' EN AW-60', 10 + doc_id % 80, ' GJS-', 400 + doc_id % 2, ' POM-C FEM 2m IM B', doc_id % 9, ' duty S', 1 + doc_id % 11, ' ISO 12944-2 C', doc_id % 7, ' Fe/Zn', 12)"
 )
 
 

@@ -386,6 +386,48 @@ _PATTERN_HITS = "SELECT lang, count(*) AS docs, " + ", ".join(
 ) + " FROM documents GROUP BY lang"
 
 
+def symbol_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits of eight classes of symbols and notes over every document with a note after it, by language."""
+    d = texts(spark, sf).select("lang", F.expr(_SYMBOLS).alias("text")).select("lang", *stats.symbol_hits(F.col("text")))
+    return d.groupBy("lang").agg(*[x for n in stats.SYMBOL_CLASSES for x in (F.sum((F.col(n) > 0).cast("int")).alias(f"docs_{n}"), F.sum(n).alias(f"hits_{n}"))])
+
+
+_SYMBOLS = "concat(coalesce(text, ''), ' iso 2553 Ra ', doc_id % 9, ' Sa 2½ ISO-2768-m ⌖ Datum A, ral 7035 RAL ', 7000 + doc_id % 9, ' S355 s355 Galvanized 1.4301 Ø12 D50, dia ', doc_id, ' Karheus Materiaali: x')"
+
+
+def _symbol_sql(name: str) -> str:
+    # RE2 looks at nothing ahead: what follows is taken into the match, which no other match begins in
+    flag = "" if name in stats.MIND_CASE else "(?i)"
+    return " + ".join("len(regexp_extract_all(t, '" + flag + p.replace("(?=[\\s,\\-\\.])", "[\\s,\\-\\.]") + "'))" for p in stats.SYMBOL_CLASSES[name])
+
+
+_SYMBOL_CLASSES = (
+    f"WITH d AS (SELECT lang, {_SYMBOLS} AS t FROM documents), h AS (SELECT lang, " + ", ".join(f"{_symbol_sql(n)} AS {n}" for n in stats.SYMBOL_CLASSES) + " FROM d) SELECT lang, "
+    + ", ".join(f"count(*) FILTER ({n} > 0) AS docs_{n}, sum({n})::BIGINT AS hits_{n}" for n in stats.SYMBOL_CLASSES) + " FROM h GROUP BY lang"
+)
+
+
+def long_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks of documents without the short ones, and texts long enough to train on."""
+    from plansift.operators.documents import without_short
+
+    d = texts(spark, sf).select("doc_id", F.explode(F.split("text", "\n")).alias("block"))
+    kept = without_short(d, "block").groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"), F.sum((F.char_length(F.trim("block")) >= 15).cast("int")).alias("trained"))
+    return kept.select("doc_id", "blocks", "trained")
+
+
+_LONG_BLOCKS = "SELECT doc_id, count(*) AS blocks, sum((length(trim(b)) >= 15)::INT) AS trained FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS b FROM documents) WHERE length(trim(b)) >= 3 GROUP BY 1"
+
+
+def common_stems(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts that were returned, accepted and neither, and shipped by the first suppliers: a chained intersect."""
+    l = table(spark, sf, "lineitem")
+    return stats.common_keys([l.filter(F.col("l_returnflag") == f) for f in ("R", "A", "N")] + [l.filter("l_suppkey <= 60")], "l_partkey")
+
+
+_COMMON_STEMS = "SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N' INTERSECT SELECT l_partkey FROM lineitem WHERE l_suppkey <= 60"
+
+
 def head_noun_type(spark: SparkSession, sf: str) -> DataFrame:
     """Parts by the first part-type word of their name."""
     return table(spark, sf, "part").select(part_type(F.col("p_name")).alias("part_type")).groupBy("part_type").agg(F.count(F.lit(1)).alias("n"))
@@ -500,6 +542,7 @@ _EVENTS_SESSIONS = """
 """
 
 PAIRS = [
+    (symbol_classes, _SYMBOL_CLASSES), (long_blocks, _LONG_BLOCKS), (common_stems, _COMMON_STEMS),
     (linkage_heads, _LINKAGE_HEADS), (linkage_fallback, _LINKAGE_FALLBACK), (bom_components, _BOM_COMPONENTS), (prod_line_labels, _PROD_LINE_LABELS), (family_of_order, _FAMILY_OF_ORDER),
     (item_buckets, _ITEM_BUCKETS), (pdf_buckets, _PDF_BUCKETS), (top_level_parents, _TOP_LEVEL_PARENTS), (singleton_share, _SINGLETON_SHARE), (histogram_components, _HISTOGRAM_COMPONENTS),
     (quartiles_words, _QUARTILES_WORDS), (composition_by_source, _COMPOSITION_BY_SOURCE), (work_content, _WORK_CONTENT), (offby_k, _OFFBY_K), (set_overlap_metrics, _SET_OVERLAP_METRICS),

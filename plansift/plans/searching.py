@@ -342,13 +342,13 @@ def token_capture(spark: SparkSession, sf: str) -> DataFrame:
     d = texts(spark, sf)
     counts = term_counts(d, "doc_id", "text", ALPHA_WORDS)
     terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).agg(F.count(F.lit(1)).alias("terms"), F.sum((F.col("df") >= 2).cast("int")).alias("terms_kept"))
-    return capture(d, "doc_id", counts).crossJoin(terms).select("least", F.round("mean", 6).alias("mean"), "most", "empty", "terms", "terms_kept")
+    return capture(d, "doc_id", counts).crossJoin(terms).select("least", F.round("mean", 6).alias("mean"), "median", "most", "empty", "terms", "terms_kept")
 
 
 _TOKEN_CAPTURE = f"""
     WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '{ALPHA_TOKEN}') AS t FROM documents),
          u AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(t) AS term FROM t) GROUP BY term)
-    SELECT min(len(t))::BIGINT AS least, round(avg(len(t)), 6) AS mean, max(len(t))::BIGINT AS most, sum((len(t) = 0)::INT)::BIGINT AS empty, (SELECT count(*) FROM u) AS terms, (SELECT count(*) FROM u WHERE df >= 2) AS terms_kept FROM t
+    SELECT min(len(t))::BIGINT AS least, round(avg(len(t)), 6) AS mean, median(len(t)) AS median, max(len(t))::BIGINT AS most, sum((len(t) = 0)::INT)::BIGINT AS empty, (SELECT count(*) FROM u) AS terms, (SELECT count(*) FROM u WHERE df >= 2) AS terms_kept FROM t
 """
 
 

@@ -94,7 +94,7 @@ _CODE_NAMES = ("metric_thread", "pipe_thread", "strength_grade", "steel_grade",
 
 def structured_codes(spark: SparkSession, sf: str) -> DataFrame:
     """Structured codes of each text; bare short codes are none."""
-    return _rows(spark, CODED, "unit int, text string").select("unit", *code_hits("text"))
+    return _rows(spark, CODED, "unit int, text string").select("unit", *code_hits("text", list(_CODE_NAMES)))
 
 
 _STRUCTURED_CODES = "SELECT unit, " + ", ".join(f"n_{n}" for n in _CODE_NAMES) + " FROM " + _values(_CODES, "unit, " + ", ".join(f"n_{n}" for n in _CODE_NAMES))
