@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import numpy as np
 from plansift.llm import near_copies, simhash
 from tests.llm.cases import clashing, documents, empty
 
@@ -93,18 +94,42 @@ def test_large_buckets_lose_no_link(spark):
 
 
 def test_rest_pairs_are_all_that_is_left(spark):
-    """Of each bucket, the pairs compared with hubs and the rest make up all pairs of different components."""
+    """Of each bucket, the pairs compared with the hub and the rest make up all pairs of different components that can be alike."""
     r = random.Random(4)
     members = {b: r.sample(range(100), r.randrange(2, 30)) for b in range(12)}
     of = {f: r.randrange(4) for f in range(100)}
-    rows = [(b, f, 10, len(own), [(min(own), 10), (max(own), 10)]) for b, own in members.items() for f in own]
-    met = spark.createDataFrame(rows, "bucket bigint, fp bigint, n bigint, members bigint, hubs array<struct<fp:bigint,n:bigint>>")
+    rows = [(b, f, 10, len(own), own[0], 10) for b, own in members.items() for f in own]
+    met = spark.createDataFrame(rows, "bucket bigint, fp bigint, n bigint, members bigint, hub bigint, hub_n bigint")
     components = spark.createDataFrame([(f, 1000 + c) for f, c in of.items()], "node bigint, component bigint")
-    want = {(min(x, y), max(x, y)) for own in members.values() for x in own for y in own if of[x] != of[y]}
+    hashes = {f: [f * 100 + k for k in range(10 - f % 4)] + list(range(f % 4)) for f in range(100)}
+    none = [0] * (near_copies.BITS // 64)  # sets that mark nothing differ in nothing
+    sets = spark.createDataFrame([(f, h, none) for f, h in hashes.items()], "fp bigint, hashes array<bigint>, bits array<bigint>")
+    every = {(min(x, y), max(x, y)) for own in members.values() for x in own for y in own if of[x] != of[y]}
     for part in (3, 50):
-        rest = {tuple(q) for q in near_copies.rest_pairs(met, components, part).collect()}
+        # buckets that are not large: nothing but components and hubs counts
+        rest = {tuple(q) for q in near_copies.rest_pairs(met, components, sets, part, 1000).collect()}
         hubs = {tuple(q) for q in near_copies.hub_pairs(met).collect()}
-        assert rest <= want <= rest | hubs
+        assert rest <= every <= rest | hubs
+        # all are large: three shared shingles of ten reach nothing
+        assert near_copies.rest_pairs(met, components, sets, part, 1).count() == 0
+
+
+def test_bits_never_promise_too_little(spark):
+    r = random.Random(9)
+    rows = []
+    for _ in range(300):
+        x = [r.randrange(1 << 64) for _ in range(r.choice([3, 40, 400, 3000]))]
+        y = r.sample(x, r.randrange(len(x) + 1)) + [r.randrange(1 << 64) for _ in range(r.choice([0, 5, 300]))]
+        x, y = (np.unique(np.array(v, dtype=np.uint64)) for v in (x, y))
+        rows.append((len(x), near_copies.bits_of(x).tolist(), len(y), near_copies.bits_of(y).tolist(), len(np.intersect1d(x, y))))
+    d = spark.createDataFrame(rows, "n long, bits array<bigint>, n2 long, bits2 array<bigint>, common long")
+    got = d.select("n", "n2", "common", near_copies.most_common(*[d[c] for c in ("n", "bits", "n2", "bits2")]).alias("most")).collect()
+    assert all(q["most"] >= q["common"] for q in got) and sum(q["most"] - q["common"] for q in got if q["n"] + q["n2"] <= 90) < 200
+
+
+def test_shared_shingles(spark):
+    sets = spark.createDataFrame([(1, [1, 2, 3]), (2, [2, 3, 4, 5]), (3, [9]), (4, [5, 6])], "fp bigint, hashes array<bigint>")
+    assert {tuple(r) for r in near_copies.shared_shingles(sets).collect()} == {(1, 2), (2, 3), (4, 1)}
 
 
 def test_unrelated_texts_under_one_id_both_stay(spark):
