@@ -144,3 +144,66 @@ def test_odd_tables(spark):
         got = near_copies.near_components(d).filter("doc_id is not null").collect()
         assert sorted((r["doc_id"], r["component_id"]) for r in got) == least_ids(d.collect())
     assert near_copies.keep_one(empty(spark)).count() == 0
+
+def naive_fingerprint(hashes):
+    """The majority of each bit, bit by bit."""
+    out = []
+    for flip, times in zip(near_copies._FLIP.tolist(), near_copies._TIMES.tolist(), strict=True):
+        own = []
+        for h in hashes:
+            x = (h ^ flip) * times % (1 << 64)
+            x = (x ^ (x >> 29)) * times % (1 << 64)
+            own.append(x ^ (x >> 32))
+        out.append(sum((2 * sum(x >> k & 1 for x in own) + (own[0] >> k & 1) > len(own)) << k for k in range(64)))
+    return out
+
+
+def test_fingerprint_is_the_majority_of_bits():
+    r = random.Random(2)
+    for n in (1, 2, 7, 40, 5000):
+        hashes = sorted(r.randrange(1 << 64) for _ in range(n))
+        assert near_copies.fingerprint(np.array(hashes, dtype=np.uint64)).tolist() == naive_fingerprint(hashes)
+
+
+def test_bits_differ_as_the_angle_says():
+    r = np.random.default_rng(6)
+    differ = []
+    for _ in range(300):
+        x = r.integers(0, 1 << 64, 220, dtype=np.uint64)  # 180 of 220 in common, and 20 of 200 each: alike to 0.8 and a little more
+        one, two = (near_copies.fingerprint(np.unique(v)) for v in (x[:200], x[20:]))
+        differ.append(int(np.bitwise_count(one ^ two).sum()))
+    assert abs(np.mean(differ) / 512 - np.arccos(180 / 200) / np.pi) < 0.01
+
+
+def test_candidates_are_all_within_the_limit():
+    r = np.random.default_rng(7)
+    n = np.sort(r.integers(5, 60, 700))
+    prints = r.integers(0, 1 << 64, (700, near_copies.COMPARED), dtype=np.uint64)
+    for k in range(1, 700, 3):  # many that differ in few bits, some in just too many
+        prints[k] = prints[k - 1]
+        for at in r.permutation(64 * near_copies.COMPARED)[: r.integers(40, 80)]:
+            prints[k, at // 64] ^= np.uint64(1) << np.uint64(at % 64)
+    got = [(i, j) for a, b in near_copies.close_pairs(n, prints) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    want = set()
+    for i in range(700):
+        d = np.bitwise_count(prints[i] ^ prints).astype(int)
+        for j in range(i + 1, 700):
+            if d[j, :2].sum() <= near_copies.FIRST and d[j].sum() <= (near_copies.LIMIT_FEW if n[i] < near_copies.FEW else near_copies.LIMIT) and n[i] >= 0.8 * n[j]:
+                want.add((i, j))
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+
+
+def test_bands_follow_the_number_of_texts():
+    assert near_copies.band_plan(0) == near_copies.band_plan(4096) == (0, 1)
+    for texts in (5000, 200_000, 15_000_000):
+        bits, bands = near_copies.band_plan(texts)
+        assert texts / 2**bits <= 4096 and (1 - near_copies.AGREE**bits) ** bands <= 0.001
+
+
+def test_links_are_found_in_bands_and_in_wide_buckets(spark):
+    texts = edited(120) + shared_passages(2)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").cache()
+    want = least_ids(d.collect())
+    for together, most in ((40, 4096), (4096, 100)):
+        got = near_copies.near_components(d, together=together, most=most).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in got) == want
