@@ -30,6 +30,7 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_left, insort
+from codecs import charmap_decode
 from functools import lru_cache
 from struct import pack as pack_bytes
 
@@ -55,10 +56,19 @@ PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?{LETTER}+| ?{NUMBER}+| ?{MARK}+|\s+
 PLAIN = re.compile("[\x00-\x1b\x20-\u0527\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u3001-\u3006\u3041-\u3094\u4e00-\u9fa5\U0001f300-\U0001f64f]*")
 #: Pieces of text whose ids a task remembers in each of two generations, the longest of them, and places to mark what was seen once.
 REMEMBERED, LONGEST, MARKS = 1 << 18, 48, 1 << 22
+#: Formats of few ids, made once.
+FORMATS = [f"<{k}I" for k in range(32)]
+
+
+def characters_of_bytes() -> str:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it can be seen, else one from 256 on."""
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in seen]
+    return "".join(chr(b if b in seen else 256 + hidden.index(b)) for b in range(256))
 
 
 class Pieces(dict):
-    """Ids, as little-endian bytes, by piece of text; what is not there yet is asked of the tokenizer.
+    """Ids, as little-endian bytes, by piece of text; what is not there yet is asked of the tokenizer's model.
 
     A piece is remembered when it comes a second time, so the many that come
     once take no room. A full generation becomes the old one; what is used
@@ -67,13 +77,14 @@ class Pieces(dict):
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.old, self.seen, self.marked = tokenizer, {}, bytearray(MARKS), 0
+        self.tokenize, self.characters = tokenizer.model.tokenize, characters_of_bytes()
+        self.old, self.seen, self.marked = {}, bytearray(MARKS), 0
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            found = self.tokenizer.encode(piece, add_special_tokens=False).ids
-            ids = pack_bytes(f"<{len(found)}I", *found)
+            found = [t.id for t in self.tokenize(charmap_decode(piece.encode(), "strict", self.characters)[0])]
+            ids = pack_bytes(FORMATS[len(found)] if len(found) < len(FORMATS) else f"<{len(found)}I", *found)
             at = hash(piece) % MARKS
             if not self.seen[at]:
                 self.seen[at] = 1
@@ -94,19 +105,24 @@ def encoder(vocabulary: str):
     """``encode(text)`` by a tokenizer of the public ones, by name: the ids of ``encode(text, add_special_tokens=False)``.
 
     The tokenizer splits a text into pieces and merges bytes within a piece, so
-    the ids of a piece are asked for once and remembered. Texts that hold a
+    the ids of a piece are asked of its model, which spares what the tokenizer
+    does around it, and remembered. Texts that hold a
     special token's string, or characters that the split may class otherwise
-    here, go to the tokenizer whole.
+    here, go to the tokenizer whole, as do all texts of a tokenizer that is
+    not byte-level alone.
     """
     import public_tokenizers
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    # of other kinds the pieces are not known here
+    by_bytes = tokenizer.normalizer is None and isinstance(tokenizer.pre_tokenizer, ByteLevel) and not tokenizer.pre_tokenizer.add_prefix_space
     ids_of = Pieces(tokenizer).__getitem__
 
     def encode(text: str) -> np.ndarray:
-        if any(t in text for t in special) or not PLAIN.fullmatch(text):
+        if not by_bytes or any(t in text for t in special) or not PLAIN.fullmatch(text):
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.frombuffer(b"".join(map(ids_of, PIECE.findall(text))), dtype="<u4")
 

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from plansift.llm.packing import PIECE, PLAIN, _Classes, best_fit_classes, cut, dominating, encoder, pack, plan, reduce_classes
+from plansift.llm.packing import PIECE, PLAIN, Pieces, _Classes, best_fit_classes, cut, dominating, encoder, pack, plan, reduce_classes
 from tests.llm.cases import LONG, clashing, documents, empty, random_documents
 
 
@@ -29,6 +29,24 @@ def test_ids_of_odd_texts():
         assert encoder("byte_bpe_50k.json")(text).tolist() == slow.encode(text, add_special_tokens=False).ids
 
 
+def test_pieces_are_asked_of_the_model_alone():
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+    class Model:
+        model = slow.model
+
+    pieces = Pieces(Model)
+    for text in ["hello", " hello", "\n\t ", "\x00\x7f", " " * 40, "x" * 900, "'s", "\u3042" * 50, *(chr(c) for c in range(1, 0x528) if PLAIN.fullmatch(chr(c)))]:
+        for _ in range(3):
+            assert np.frombuffer(pieces[text], dtype="<u4").tolist() == slow.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_take_texts_whole():
+    slow = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for text in ("", "Hello  World's 123\n", "a\u0301 \u00c5ngstr\u00f6m", LONG):
+        assert encoder("word_bpe_49k.json")(text).tolist() == slow.encode(text, add_special_tokens=False).ids
+
+
 BLANKS = (" " * 1_200_000, "\n" * 1_200_000, "\t" * 1_200_000, " \t" * 600_000, "x" + " " * 1_200_000 + "y", "x" * 1_200_000)
 
 
