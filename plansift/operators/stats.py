@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plansift.functions.text import as_re2
+
 # Classes of items by their place in a bill of material, richest first, and edges of histograms.
 PRIORITY = {"top_level": 4, "subassembly": 3, "leaf": 2, "uninstantiated": 1, "external": 0}
 COMPONENT_EDGES = ((1, 1, "1"), (2, 3, "2-3"), (4, 7, "4-7"), (8, 15, "8-15"), (16, None, "16+"))
@@ -83,7 +85,7 @@ MIND_CASE = {"ral_color", "material_grade"}
 def symbol_hits(text: Column) -> list[Column]:
     """A column for each class of symbols: how often its patterns stand in a text, each counted by itself."""
     def count(name: str) -> Column:
-        each = [F.regexp_count(text, F.lit(p if name in MIND_CASE else f"(?i){p}")) for p in SYMBOL_CLASSES[name]]
+        each = [F.regexp_count(text, F.lit(as_re2(p if name in MIND_CASE else f"(?i){p}"))) for p in SYMBOL_CLASSES[name]]
         total = each[0]
         for e in each[1:]:
             total = total + e
