@@ -79,7 +79,8 @@ def link_heads(files: DataFrame, items: DataFrame) -> DataFrame:
     """``stem, item`` of ``files (stem)`` and ``items (item, description)`` whose key equals a head."""
     keys = files.select("stem", F.explode(candidate_keys(F.col("stem"))).alias("key"))
     own = items.select("item", F.explode(heads(F.col("description"))).alias("key"))
-    return keys.join(own, "key").select("stem", "item").distinct()
+    # exploded keys are many times what the files' size tells, so neither side may be broadcast
+    return keys.join(own.hint("merge"), "key").select("stem", "item").distinct()
 
 
 #: What a part of a key is made of: letters and digits of all scripts, or of ASCII.
@@ -127,13 +128,13 @@ def link_inside(files: DataFrame, items: DataFrame) -> DataFrame:
     before = F.when(at > 1, F.col("description").substr(at - 1, F.lit(1))).otherwise("")
     after = F.col("description").substr(at + F.char_length("key"), F.lit(1))
     free = (at > 0) & ~before.rlike(r"[\p{L}\p{N}]") & ~after.rlike(r"[\p{L}\p{N}]")
-    return keys.join(own, "inner").filter(free).select("stem", "item").distinct()
+    return keys.join(own.hint("merge"), "inner").filter(free).select("stem", "item").distinct()
 
 
 def link(files: DataFrame, items: DataFrame) -> DataFrame:
     """``stem, item, how``: by heads, and for stems without any, by keys inside descriptions."""
     first = link_heads(files, items)
-    rest = files.select("stem").distinct().join(first, "stem", "left_anti")
+    rest = files.select("stem").distinct().join(first.hint("merge"), "stem", "left_anti")
     return first.withColumn("how", F.lit("head")).unionByName(link_inside(rest, items).withColumn("how", F.lit("inside")))
 
 
@@ -188,7 +189,7 @@ def second_pass(files: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:
     both = edges.select("row_no", F.explode(F.array("parent_desc", "component_desc")).alias("d")).filter("d is not null")
     keys = keys.withColumn("inner", inner_run(F.col("key"), ASCII))
     runs = both.select("row_no", "d", F.explode(inside_keys(F.col("d"), most_parts(keys, ASCII), ASCII)).alias("inner"))
-    met = keys.join(runs, "inner").filter(stands_free(F.col("d"), F.col("key"))).select("stem", "key", "row_no").distinct()
+    met = keys.join(runs.hint("merge"), "inner").filter(stands_free(F.col("d"), F.col("key"))).select("stem", "key", "row_no").distinct()
     longest = met.groupBy("stem").agg(F.min(F.struct((-F.char_length("key")).alias("n"), "key")).alias("m")).select("stem", F.col("m.key").alias("key"))
     order = Window.partitionBy("stem").orderBy("row_no")
-    return met.join(longest, ["stem", "key"]).withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= most).select("stem", "key", "row_no")
+    return met.join(longest.hint("merge"), ["stem", "key"]).withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= most).select("stem", "key", "row_no")

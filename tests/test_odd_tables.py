@@ -64,3 +64,8 @@ def test_meeting_boxes_give_the_groups_of_all_pairs():
         x0, x1, y0, y1 = (list(v) for v in zip(*boxes, strict=True))
         every = [(i, j) for i in range(n) for j in range(i) if not (x1[i] < x0[j] or x1[j] < x0[i] or y1[i] < y0[j] or y1[j] < y0[i])]
         assert layout._groups(n, layout._meeting(range(n), x0, x1, y0, y1)) == layout._groups(n, every)
+
+
+@pytest.mark.parametrize("name", ["linkage_heads", "linkage_fallback", "second_pass_linkage"])
+def test_exploded_keys_are_not_broadcast(spark, small, name):
+    assert "Broadcast" not in QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
