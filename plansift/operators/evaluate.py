@@ -99,9 +99,14 @@ def ranking(runs: DataFrame, hits: DataFrame, k: int, query: str = "query", cand
     """
     relevant = hits.select(query, candidate).distinct().withColumn("hit", F.lit(1))
     marked = runs.filter(F.col(rank) <= k).select(query, candidate, rank).join(relevant, [query, candidate], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    return marked_ranking(marked, relevant.groupBy(query).agg(F.count(F.lit(1)).alias("n_hits")), k, query, rank)
+
+
+def marked_ranking(runs: DataFrame, number: DataFrame, k: int, query: str = "query", rank: str = "rank") -> DataFrame:
+    """The measures of :func:`ranking` where ``runs`` has ``hit``, 0 or 1, and ``number`` a query's ``n_hits``, so that no pair is written that no run has."""
+    marked = runs.filter(F.col(rank) <= k)
     so_far = Window.partitionBy(query).orderBy(rank).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = marked.withColumn("so_far", F.sum("hit").over(so_far))
-    number = relevant.groupBy(query).agg(F.count(F.lit(1)).alias("n_hits"))
     per = seen.groupBy(query).agg(
         F.max("hit").alias("success"), F.max(F.when(F.col(rank) == 1, F.col("hit")).otherwise(0)).alias("p_at_1"),
         F.coalesce(F.max(F.when(F.col("hit") == 1, 1.0 / F.col(rank))), F.lit(0.0)).alias("reciprocal_rank"),
