@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 import re
 
+import numpy as np
 import pytest
 from compare import TABLES, connect, differences
 
-from plansift.operators import layout
+from plansift.operators import layout, retrieval
 from plansift.plans.catalogue import ORACLES, QUERIES
 
 # letters beyond ASCII beside words, letters that fold into ASCII, a vertical tab, and empty and unknown fields
@@ -69,3 +70,29 @@ def test_meeting_boxes_give_the_groups_of_all_pairs():
 @pytest.mark.parametrize("name", ["linkage_heads", "linkage_fallback", "second_pass_linkage"])
 def test_exploded_keys_are_not_broadcast(spark, small, name):
     assert "Broadcast" not in QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_best_over_blocks_is_the_best_of_all():
+    """With ties, own rows, scores that singles can't tell apart, and blocks in any order."""
+    r = np.random.default_rng(3)
+    for scale in (1.0, 1e-3, 1e20):
+        v = np.round(r.normal(size=(300, 8)), 1) * scale
+        v[20:60] = v[20]
+        v[60:90] = v[60] + r.normal(size=(30, 8)) * 1e-8 * scale
+        best = retrieval._Best(np.arange(300), 5, True, None)
+        for at in (np.arange(200, 300), np.arange(0, 200)):
+            best.meet(at, *retrieval._products(v, v[at]))
+        sim = v @ v.T
+        for q in range(300):
+            want = sorted((j for j in range(300) if j != q), key=lambda j: (-np.round(sim[q, j], retrieval.PLACES), j))[:5]
+            got = best.keys[best.rows == q]
+            if scale < 1e10:
+                assert got.tolist() == want
+            else:
+                assert np.allclose(sim[q, got], sim[q, want])
+
+
+def test_relevant_rows_are_not_paired(spark, small):
+    """Vectors of one label are counted, not joined with each other."""
+    text = QUERIES["ap_mrr_success"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "NOT (query" not in text and "NOT (vec_id" not in text
