@@ -96,3 +96,8 @@ def test_relevant_rows_are_not_paired(spark, small):
     """Vectors of one label are counted, not joined with each other."""
     text = QUERIES["ap_mrr_success"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "NOT (query" not in text and "NOT (vec_id" not in text
+
+
+def test_runs_of_characters_are_told_apart_in_their_row(spark, small):
+    text = QUERIES["charwb_df"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"hashpartitioning\((\w+)#", text)) == {"term"}
